@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate
+from . import decontaminate, lines, substring
 
-MODULES = (decontaminate,)
+MODULES = (substring, decontaminate, lines)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
