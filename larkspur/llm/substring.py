@@ -123,7 +123,7 @@ def _next_level(prev: int, length: int, first: bool) -> Callable:
                 doc = r.doc[at]
                 place = (check[doc] << np.uint64(32)) | (at - r.first[doc]).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tk.signed(r.hashes(at, length))), pa.array(tk.signed(r.hashes(at, length, 1))), pa.array(ids[lo + doc]), pa.array(tk.signed(place)), pa.array(movable)],
+                    [pa.array(tk.signed(r.hashes(at, length))), pa.array(tk.signed(r.hashes(at, length, 1)).astype(np.int32)), pa.array(ids[lo + doc]), pa.array(tk.signed(place)), pa.array(movable)],
                     ["h", "g", "i", "p", "later"],
                 )
 
@@ -166,7 +166,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result has one row for every input row: a null or empty text has no words;
     texts shorter than the window, and rows with a null id, are kept whole and
     count for no other. Kept words are joined by one space. Equality is that of
-    128-bit hashes of the word sequence. Other columns are not read.
+    96-bit hashes of the word sequence. Other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     steps = levels(window, start)
@@ -179,7 +179,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cand = found.groupBy("i").agg(F.collect_set(F.struct("h", (F.col("m") < F.col("i")).alias("later"))).alias("c"))
         # Left joins on both uses of `base`, so that its exchange is made once.
         rows = base.join(cand, "i", "left").select("i", "t", "c").mapInArrow(
-            _next_level(steps[k - 1], length, k == 1), "h long, g long, i long, p long, later boolean"
+            _next_level(steps[k - 1], length, k == 1), "h long, g int, i long, p long, later boolean"
         )
         least = rows.groupBy("h", "g").agg(F.min("i").alias("m"), F.max("i").alias("x")).where("m < x").select("h", "g", "m")
     again = rows.where("later").join(least, ["h", "g"]).where("m < i")
