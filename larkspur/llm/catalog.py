@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, lines, quality, substring, toxicity
+from . import decontaminate, lines, mixing, quality, sharding, substring, toxicity
 
-MODULES = (substring, toxicity, decontaminate, lines, quality)
+MODULES = (substring, mixing, toxicity, sharding, decontaminate, lines, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
