@@ -54,6 +54,68 @@ def _sample(rows: DataFrame, count: int, seed: int) -> list[tuple[int, int]]:
     return sorted((r.key, r.tie) for r in got)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, overhead: int) -> dict[str, Column]:
+    t = F.col(text_col)
+    crc = F.crc32(t.cast("binary"))
+    # The crc orders; the other hash's bits part texts that share it.
+    key = F.when(t.isNotNull(), F.shiftleft(crc, 31).bitwiseOR(F.xxhash64(t).bitwiseAND(F.lit(2**31 - 1)))).otherwise(F.lit(-1).cast("long"))
+    size = F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + overhead
+    return {"size": size, "text_crc32": crc, "key": key, "tie": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))}
+
+
+class Layout:
+    """Where records lie: splitters, and what comes before each range."""
+
+    def __init__(self, rows: DataFrame, n_shards: int, seed: int) -> None:
+        """`rows`: size, key and tie of all records, read several times."""
+        self.spark, self.n_shards = rows.sparkSession, n_shards
+        self.total = rows.agg(F.sum("size")).first()[0] or 0
+        n_ranges = n_shards * RANGES
+        drawn = _sample(rows, n_ranges * SAMPLES, seed)
+        self.splitters = sorted({(k, -(2**63)) for k, _ in drawn[SAMPLES::SAMPLES]})
+        limit = 4 * self.total / n_ranges
+        for again in range(4):
+            placed = rows.withColumn("range", _range_of(self.splitters)("key", "tie"))
+            sizes = placed.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # at most one row a range
+            full = [r.range for r in sizes if r.size > limit and r.n > 1]
+            if not full or again == 3:
+                break
+            inside = _sample(placed.where(F.col("range").isin(full)), SAMPLES * n_ranges, seed + 1 + again)
+            # By key where a range has several, by id where one key fills it.
+            hot = {k for k, c in Counter(k for k, _ in inside).items() if c > 2 * SAMPLES}
+            self.splitters = sorted(set(self.splitters) | {(k, i if k in hot else -(2**63)) for k, i in inside[:: SAMPLES // 2]})
+        self._before, n = [], 0
+        for r in sorted(sizes, key=lambda r: r.range):
+            self._before.append((r.range, n))
+            n += r.size
+        parts = self._sharded(rows).groupBy("shard", "range").count().collect()
+        self._first, last, n = [], None, 0
+        for s, r, c in sorted(tuple(p) for p in parts):
+            n = n if s == last else 0
+            self._first.append((s, r, n))
+            last, n = s, n + c
+
+    def _sharded(self, rows: DataFrame) -> DataFrame:
+        start = self.spark.createDataFrame(self._before, "range int, before long")  # one row a range
+        rows = rows.withColumn("range", _range_of(self.splitters)("key", "tie")).join(F.broadcast(start), "range")
+        w = Window.partitionBy("range").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("at", F.col("before") + F.sum("size").over(w) - F.col("size"))
+        # A group that a splitter parts is a divided one.
+        g = Window.partitionBy("range", "key")
+        whole = (F.col("key") >= 0) & (F.sum("size").over(g) * self.n_shards <= WHOLE * self.total)
+        middle = F.when(whole, F.min("at").over(g) + F.sum("size").over(g) / 2).otherwise(F.col("at") + F.col("size") / 2)
+        return rows.withColumn("shard", F.least(F.lit(self.n_shards - 1), F.floor(middle * self.n_shards / self.total)).cast("int"))
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """`rows` (size, key and tie among their columns) with shard and slot."""
+        if not self._first:
+            return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        first = self.spark.createDataFrame(self._first, "shard int, range int, first long")  # under two rows a range
+        nth = F.row_number().over(Window.partitionBy("range", "shard").orderBy("key", "tie"))
+        rows = self._sharded(rows).withColumn("nth", nth).join(F.broadcast(first), ["shard", "range"])
+        return rows.withColumn("slot", F.col("first") + F.col("nth") - 1)
+
+
 def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, seed: int = 1) -> DataFrame:
     """Per row: doc_id, size (UTF-8 bytes and `overhead`), text_crc32, shard
     (0 to n_shards - 1), slot (gapless from 0 within the shard).
@@ -67,60 +129,17 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     leave shards empty; an empty table gives no rows. Other columns are not
     read.
     """
-    t = F.col(text_col)
-    crc = F.crc32(t.cast("binary"))
-    # The crc orders; the other hash's bits part texts that share it.
-    key = F.when(t.isNotNull(), F.shiftleft(crc, 31).bitwiseOR(F.xxhash64(t).bitwiseAND(F.lit(2**31 - 1)))).otherwise(F.lit(-1).cast("long"))
-    rows = durable(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + overhead).alias("size"),
-            crc.alias("text_crc32"), key.alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("tie"),
-        )
-    )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    if not total:
-        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    n_ranges = n_shards * RANGES
-    drawn = _sample(rows, n_ranges * SAMPLES, seed)
-    splitters = sorted({(k, -(2**63)) for k, _ in drawn[SAMPLES::SAMPLES]})
-    limit = 4 * total / n_ranges
-    for again in range(4):
-        sizes = rows.groupBy(_range_of(splitters)("key", "tie").alias("range")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("z"))
-        full = [(r.range, r.size) for r in sizes.collect() if r.size > limit and r.n > 1]  # at most one row a range
-        if not full:
-            break
-        placed = rows.withColumn("range", _range_of(splitters)("key", "tie"))
-        inside = _sample(placed.where(F.col("range").isin([r for r, _ in full])), SAMPLES * n_ranges, seed + 1 + again)
-        # By key where a range has several, by id where one key fills it.
-        keys = [k for k, _ in inside]
-        hot = {k for k, c in Counter(keys).items() if c > 2 * SAMPLES}
-        fresh = {(k, i if k in hot else -(2**63)) for k, i in inside[:: SAMPLES // 2]}
-        splitters = sorted(set(splitters) | fresh)
-    rows = rows.withColumn("range", _range_of(splitters)("key", "tie"))
-    sizes = rows.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    before, n = {}, 0
-    for r in sorted(sizes, key=lambda r: r.range):
-        before[r.range], n = n, n + r.size
-    offset = [(k, v) for k, v in before.items()]
-    start = rows.sparkSession.createDataFrame(offset, "range int, before long")  # one row a range
-    w = Window.partitionBy("range").orderBy("key", "tie")
-    upto = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    rows = rows.join(F.broadcast(start), "range").withColumn("at", F.col("before") + upto)
-    # Groups within one range; a group that a splitter parts is a divided one.
-    g = Window.partitionBy("range", "key")
-    whole = (F.col("key") >= 0) & (F.sum("size").over(g) * n_shards <= WHOLE * total)
-    middle = F.when(whole, F.min("at").over(g) + F.sum("size").over(g) / 2).otherwise(F.col("at") + F.col("size") / 2)
-    rows = rows.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / total)).cast("int"))
-    # Slots: rows of a shard in earlier ranges, then the row's number in its range.
-    rows = durable(rows.withColumn("nth", F.row_number().over(Window.partitionBy("range", "shard").orderBy("key", "tie"))))
-    parts = sorted((r["shard"], r["range"], r["count"]) for r in rows.groupBy("shard", "range").count().collect())
-    first, last, n = [], None, 0
-    for s, r, c in parts:
-        n = n if s == last else 0
-        first.append((s, r, n))
-        last, n = s, n + c
-    firsts = rows.sparkSession.createDataFrame(first, "shard int, range int, first long")  # under two rows a range
-    return rows.join(F.broadcast(firsts), ["shard", "range"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"))
+    rows = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(k) for k, c in _keyed(docs, id_col, text_col, overhead).items()]))
+    return Layout(rows, n_shards, seed).place(rows).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def sharded_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, seed: int = 1) -> DataFrame:
+    """The rows of `docs`, all columns, with shard and slot as in shard()."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    cols = _keyed(plain, f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}", overhead)
+    rows = plain.withColumns({k: c for k, c in cols.items() if k != "text_crc32"})
+    placed = Layout(durable(rows.select("size", "key", "tie")), n_shards, seed).place(rows)
+    return placed.select(*plain.columns, "shard", "slot").toDF(*docs.columns, "shard", "slot")
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import tokens as tk
 from .labelled import in_fit_fold, labelled_sample
@@ -60,7 +61,8 @@ class _Bags:
         low = tk.LOWER[buf]
         s, e, self.first = tk.words(low, offs, EDGE)
         h = tk.spans_hash(tk.byte_prefix(low), s, e)
-        self.key, one, self.number = np.unique(h, return_index=True, return_inverse=True)
+        _, one, number = np.unique(h, return_index=True, return_inverse=True)
+        self.number = number.astype(np.int32)
         self.owner, self.feat = bag(low, s[one], e[one], grams, buckets)
         self.size = np.bincount(self.owner, minlength=len(one))
         # A word said again within half a passage counts for nothing the second time.
@@ -68,7 +70,7 @@ class _Bags:
         near = np.zeros(len(h), bool)
         near[order[1:]] = (self.number[order[1:]] == self.number[order[:-1]]) & (order[1:] - order[:-1] <= PASSAGE // 2)
         near[self.first[self.first < len(h)]] = False
-        self.counts = (~near).astype(np.float64)
+        self.counts = ~near
         self.entries = np.concatenate([[0], np.cumsum(self.size[self.number] * ~near)])
 
     def word_sums(self, weight: np.ndarray) -> np.ndarray:
@@ -122,6 +124,7 @@ def fit(sample: list[tuple[str, int]], dim: int = 16, buckets: int = 1 << 17, gr
         return Model(np.zeros(buckets, np.float32), float(np.log((p + 1e-3) / (1 - p + 1e-3))), grams, passage)
     raw = [t.encode() for t, _ in sample]
     b = _Bags(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), grams, buckets)
+    del raw
     doc, lo, hi = passages(b.first, passage)
     heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     rng = np.random.default_rng(5)
@@ -157,17 +160,19 @@ def fit(sample: list[tuple[str, int]], dim: int = 16, buckets: int = 1 << 17, gr
     return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), grams, passage)
 
 
-def _score(model) -> Callable:
+def _score(model, text: int) -> Callable:
+    """Every batch with a last column of scores of the texts in column `text`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [model.value.score(buf, offs) for _, _, buf, offs in tk.chunks(b.column(1))]
+            parts = [model.value.score(buf, offs) for _, _, buf, offs in tk.chunks(b.column(text))]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, "score"])
 
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 6000, max_bytes: int = 48 << 20, **fitting) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 3000, max_bytes: int = 10 << 20, **fitting) -> DataFrame:
     """Per row: doc_id, score in 0 to 1, the higher the likelier toxic.
 
     Fitted on labelled_sample(); only the text makes the score. A null, empty
@@ -177,7 +182,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     model = fit(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col), **fitting)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # `buckets` floats
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(_score(sent), "doc_id long, score double")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    return base.mapInArrow(_score(sent, 1), "doc_id long, t string, score double").drop("t")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 3000, max_bytes: int = 10 << 20, **fitting) -> DataFrame:
+    """The rows of `docs`, all columns, with a score under `least`; nothing is
+    shuffled. As toxicity_scores() otherwise."""
+    model = fit(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col), **fitting)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Names could clash with a column's, so all are numbered in between.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    out = StructType([*plain.schema.fields, StructField("score", DoubleType())])
+    kept = plain.mapInArrow(_score(sent, docs.columns.index(text_col)), out).where(F.col("score") < least)
+    return kept.drop("score").toDF(*docs.columns)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
