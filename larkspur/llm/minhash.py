@@ -111,7 +111,8 @@ def _sign(bands: int, rows: int) -> Callable:
                 e = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
                 parts = []
                 for seed in (31, 32):
-                    c = np.concatenate([[0], np.cumsum(tk.mix(tk.mix(feat, seed) + count.astype(_U)), dtype=_U)]).astype(_U)
+                    c = np.zeros(len(feat) + 1, _U)
+                    np.cumsum(tk.mix(tk.mix(feat, seed) + count.astype(_U)), out=c[1:])
                     parts.append(pa.array(tk.signed(tk.mix(c[e[1:]] - c[e[:-1]])), mask=~some))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(tk.signed(np.ascontiguousarray(h)).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), *parts, keys], ["i", "x", "y", "bands"])
