@@ -202,14 +202,16 @@ def fit(sample: list[tuple[str, int]], least: float = 0.5) -> Verdict:
     y_doc = np.array([y for _, y in sample], np.int64)
     if not len(y_doc) or y_doc.min() == y_doc.max():
         return Verdict(Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2))), least)
-    raw = [t.encode() for t, _ in sample]
-    p = Profile(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
-    poor = y_doc[p.doc] == 0
-    y = y_doc[p.doc].copy()
+    parts = [Profile(buf, offs) for _, _, buf, offs in tk.chunks(pa.array([t for t, _ in sample], pa.large_string()))]
+    x = np.concatenate([p.x for p in parts])
+    lines = np.concatenate([np.diff(p.head) for p in parts])
+    head = np.concatenate([[0], np.cumsum(lines)])
+    y = np.repeat(y_doc, lines)
+    poor = y == 0
     for _ in range(3):
-        f = fit_field(p.x, y, p.head)
-        y = np.where(poor, f.decode(p.x, p.head), 1)
-    _, share = Verdict(f, least).shares(p)
+        f = fit_field(x, y, head)
+        y = np.where(poor, f.decode(x, head), 1)
+    share = np.concatenate([Verdict(f, least).shares(p)[1] for p in parts])
     grid = np.linspace(least, 0.95, 10)
     score = [((share >= g)[y_doc == 1].mean() + (share < g)[y_doc == 0].mean()) for g in grid]
     return Verdict(f, float(grid[int(np.argmax(score))]))

@@ -45,11 +45,11 @@ def bag(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, grams: tuple[int,
     out[inner] = buf[src[inner]]
     pre = tk.byte_prefix(out)
     mask = np.uint64(buckets - 1)
-    words, feats = [np.arange(len(start))], [(tk.spans_hash(pre, at[:-1], at[1:]) & mask).astype(np.int32)]
+    words, feats = [np.arange(len(start), dtype=np.int32)], [(tk.spans_hash(pre, at[:-1], at[1:]) & mask).astype(np.int32)]
     for n in grams:
         i = np.arange(max(len(out) - n + 1, 0))
         i = i[i + n <= at[word[i] + 1]]
-        words.append(word[i])
+        words.append(word[i].astype(np.int32))
         feats.append((tk.mix(tk.spans_hash(pre, i, i + n), n) & mask).astype(np.int32))
     return np.concatenate(words), np.concatenate(feats)
 
@@ -61,20 +61,42 @@ class _Bags:
         low = tk.LOWER[buf]
         s, e, self.first = tk.words(low, offs, EDGE)
         h = tk.spans_hash(tk.byte_prefix(low), s, e)
-        _, one, number = np.unique(h, return_index=True, return_inverse=True)
+        self.key, one, number = np.unique(h, return_index=True, return_inverse=True)
         self.number = number.astype(np.int32)
         self.owner, self.feat = bag(low, s[one], e[one], grams, buckets)
-        self.size = np.bincount(self.owner, minlength=len(one))
         # A word said again within half a passage counts for nothing the second time.
         order = np.argsort(self.number, kind="stable")
         near = np.zeros(len(h), bool)
         near[order[1:]] = (self.number[order[1:]] == self.number[order[:-1]]) & (order[1:] - order[:-1] <= PASSAGE // 2)
         near[self.first[self.first < len(h)]] = False
         self.counts = ~near
-        self.entries = np.concatenate([[0], np.cumsum(self.size[self.number] * ~near)])
+        self._measure()
+
+    def _measure(self) -> None:
+        self.size = np.bincount(self.owner, minlength=len(self.key)).astype(np.int32)
+        self.entries = np.concatenate([[0], np.cumsum(self.size[self.number] * self.counts, dtype=np.int64)])
+
+    @classmethod
+    def joined(cls, parts: list[_Bags]) -> _Bags:
+        """One run of several, made apart so that bytes are held for one at a time."""
+        self = cls.__new__(cls)
+        at = np.cumsum([0, *(len(p.key) for p in parts)])
+        self.key, one, place = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
+        new = np.zeros(at[-1], bool)
+        new[one] = True
+        place = place.astype(np.int32)
+        own = [(p, lo, new[lo:hi][p.owner]) for p, lo, hi in zip(parts, at, at[1:])]
+        self.owner = np.concatenate([place[lo + p.owner[k]] for p, lo, k in own])
+        self.feat = np.concatenate([p.feat[k] for p, _, k in own])
+        self.number = np.concatenate([place[lo + p.number] for p, lo, _ in own])
+        self.counts = np.concatenate([p.counts for p in parts])
+        words = np.cumsum([0, *(len(p.number) for p in parts)])
+        self.first = np.concatenate([*(p.first[:-1] + w for p, w in zip(parts, words)), words[-1:]])
+        self._measure()
+        return self
 
     def word_sums(self, weight: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, weight[self.feat], minlength=len(self.size))
+        return np.bincount(self.owner, weight[self.feat], minlength=len(self.key))
 
 
 def passages(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,9 +144,7 @@ def fit(sample: list[tuple[str, int]], dim: int = 16, buckets: int = 1 << 17, gr
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(buckets, np.float32), float(np.log((p + 1e-3) / (1 - p + 1e-3))), grams, passage)
-    raw = [t.encode() for t, _ in sample]
-    b = _Bags(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), grams, buckets)
-    del raw
+    b = _Bags.joined([_Bags(buf, offs, grams, buckets) for _, _, buf, offs in tk.chunks(pa.array([t for t, _ in sample], pa.large_string()))])
     doc, lo, hi = passages(b.first, passage)
     heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     rng = np.random.default_rng(5)
@@ -149,7 +169,7 @@ def fit(sample: list[tuple[str, int]], dim: int = 16, buckets: int = 1 << 17, gr
         # Every word of an example adds g / (size of the example's bag) to each of its buckets.
         per = g / _sizes(b, at, end)
         d = np.bincount(at, per, minlength=len(b.number) + 1) - np.bincount(end, per, minlength=len(b.number) + 1)
-        by_word = np.bincount(b.number, np.cumsum(d)[:-1] * b.counts, minlength=len(b.size))
+        by_word = np.bincount(b.number, np.cumsum(d)[:-1] * b.counts, minlength=len(b.key))
         by_bucket = np.bincount(b.feat, by_word[b.owner], minlength=buckets).astype(np.float32)
         g_out = (emb * by_bucket[:, None]).sum(0)
         grads = (by_bucket[:, None] * (out[:, 1] - out[:, 0]) + decay * emb, np.stack([-g_out, g_out], 1) + decay * out, np.array([-g.sum(), g.sum()]))
