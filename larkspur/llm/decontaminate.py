@@ -106,7 +106,7 @@ def near_matches(w: Windows, term: np.ndarray, doc: np.ndarray, slack: int, shar
     places = np.argsort(by[live], axis=1, kind="stable")
     found: list[tuple[np.ndarray, np.ndarray]] = []
     # A match may miss (1 - share) of the terms, so that many rarest ones are tried.
-    for r in range(int(np.floor((1 - share) * w.terms.shape[1])) + 1):
+    for r in range(w.terms.shape[1] - int(np.ceil(share * w.terms.shape[1])) + 1):
         p0 = places[:, r]
         usable = by[live, p0] < np.iinfo(np.int64).max
         t0 = np.where(usable, w.terms[live, p0], 0)
