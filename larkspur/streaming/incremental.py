@@ -41,5 +41,6 @@ def process_new(spark: SparkSession, root: str, state_path: str, checkpoint: str
 def windowed_counts(events: DataFrame, time_col: str = "ts", late: str = "10 minutes", size: str = "1 day") -> DataFrame:
     """Counts and sums by kind and tumbling window, for a batch or a stream."""
     w = F.window(F.col(time_col), size)
-    rows = events.withWatermark(time_col, late) if events.isStreaming else events
+    # Watermarks need an instant, which a time without a zone is not.
+    rows = events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late) if events.isStreaming else events
     return rows.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")

@@ -148,7 +148,7 @@ def test_matching(spark):
 
 def test_suppression():
     rows = pd.DataFrame([("abc", 0, 0, 10, 10, 0.5), ("abc", 1, 0, 10, 10, 0.9), ("abc", 9, 9, 10, 10, 0.4), ("zzz", 9, 9, 10, 10, 0.3), ("abc", 50, 50, 5, 5, 0.2)], columns=vision.OCR)
-    assert list(vision.suppress(rows)["confidence"]) == [0.9, 0.4, 0.2]
+    assert list(vision.suppress(rows)["confidence"]) == [0.9, 0.3, 0.2]
 
 
 def test_pixels(spark):
