@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import durable, shared_path
+from .durable import durable, shared_path, small_batches
 from .mixing import WORD
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -106,6 +106,7 @@ def token_counts(docs: DataFrame, ranks: str, text_col: str = "text", source_col
     """Per row: source, lang, estimate (a quarter of its characters, from the
     table's own column), words, bpe (tokens by the ranks in that file). A null
     text has null counts, which add nothing; an empty one 0."""
+    small_batches(docs.sparkSession)
     t = F.col(text_col)
     base = docs.select(
         F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), (F.col(chars_col) / 4).cast("long").alias("estimate"),

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
+from .durable import small_batches
 
 
 @dataclass
@@ -205,6 +206,7 @@ def benchmark_matches(
     are not read. More items than one block holds are searched block by block
     and the spans united, with the same result.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     parts = [base.mapInArrow(_search(compile_windows(b, size), slack, share), _MATCH) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
     if len(parts) == 1:
@@ -254,6 +256,7 @@ def _unite(col: str):
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of `docs`, all columns, that hold no window of `benchmark`;
     nothing is shuffled. As benchmark_matches() otherwise."""
+    small_batches(docs.sparkSession)
     text = docs.columns.index(text_col)
     kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     for b in _blocks(benchmark, item_col, item_text_col, block_bytes):

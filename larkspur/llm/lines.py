@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
+from .durable import small_batches
 
 SEGMENT = 1 << 15  # bits
 
@@ -188,6 +189,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as one document. Keys are compared by 128-bit hashes. Other columns are not
     read.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     bits = 1 << 20

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .durable import durable, shared_path
+from .durable import durable, shared_path, small_batches
 
 BANDS, ROWS = 32, 4
 _U = np.uint64
@@ -99,7 +99,7 @@ def signatures(doc: np.ndarray, feat: np.ndarray, count: np.ndarray, n_docs: int
 def _sign(bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tk.chunks(b.column(1), 4 * tk.CHUNK):
+            for lo, hi, buf, offs in tk.chunks(b.column(1), 2 * tk.CHUNK):
                 doc, feat, count = features(buf, offs)
                 n = hi - lo
                 sig = signatures(doc, feat, count, n, bands * rows).view(np.uint64).reshape(n, bands, rows)
@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and get a null class_id. Rows that share an id are one document for links
     and classes, by any of its texts. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     signed = durable(base.mapInArrow(_sign(bands, rows), "i long, x long, y long, bands array<long>"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
+from .durable import small_batches
 
 ROUNDS = 8
 
@@ -295,6 +296,7 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, id_col: str = "d
     row is read whole and alone, so nothing is shuffled. Other columns are not
     read.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(
         _run(key, back), "doc_id long, text string, found array<struct<kind:string,start:int,stop:int>>"
     )

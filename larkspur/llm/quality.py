@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
+from .durable import small_batches
 from .labelled import labelled_sample
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -246,6 +247,7 @@ def line_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     content. A null or empty text is one empty line and fails; ids may be null
     or repeat, each row is judged alone. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     verdict = fit(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col))
     sent = docs.sparkSession.sparkContext.broadcast(verdict)  # a few numbers
     out = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(_judge(sent), _OUT)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
+from .durable import small_batches
 
 START = 25
 
@@ -168,6 +169,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count for no other. Kept words are joined by one space. Equality is that of
     96-bit hashes of the word sequence. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     steps = levels(window, start)
     rows = base.where("i is not null").mapInArrow(_first_level(steps[0], steps[1]), "h long, i long")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import tokens as tk
+from .durable import small_batches
 from .labelled import in_fit_fold, labelled_sample
 
 #: Everything but digits, letters and non-ASCII bytes parts words here.
@@ -192,7 +193,7 @@ def _score(model, text: int) -> Callable:
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 3000, max_bytes: int = 10 << 20, **fitting) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 3000, max_bytes: int = 8 << 20, **fitting) -> DataFrame:
     """Per row: doc_id, score in 0 to 1, the higher the likelier toxic.
 
     Fitted on labelled_sample(); only the text makes the score. A null, empty
@@ -200,15 +201,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     scores; ids may be null. Without usable labels every score is the same,
     near 0. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     model = fit(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col), **fitting)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # `buckets` floats
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     return base.mapInArrow(_score(sent, 1), "doc_id long, t string, score double").drop("t")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 3000, max_bytes: int = 10 << 20, **fitting) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 3000, max_bytes: int = 8 << 20, **fitting) -> DataFrame:
     """The rows of `docs`, all columns, with a score under `least`; nothing is
     shuffled. As toxicity_scores() otherwise."""
+    small_batches(docs.sparkSession)
     model = fit(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col), **fitting)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     # Names could clash with a column's, so all are numbered in between.
