@@ -16,12 +16,15 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .durable import durable
+from .durable import durable, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -130,6 +133,11 @@ def plan(docs: DataFrame, source_col: str, size: Column, weights=WEIGHTS, block:
     return Plan([r.source for r in got], sizes, t, quotas(t, seats), [-(-n // block) for n in sizes], block, seed)
 
 
+def size_of(text_col: str) -> Column:
+    """Words of a text; none in a null."""
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def _placed(rows: DataFrame, p: Plan) -> DataFrame:
     """`rows` (with doc_id, source, size) with the place `lo` of each document's
     first word in its source's stream, and the columns of the plan."""
@@ -163,8 +171,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     id and size either may come first. An empty table gives no rows. Other
     columns are not read.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
+    rows = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size")))
     p = plan(rows, "source", F.col("size"), weights, block, seed)
     taken = f"""if(size = 0, 0L, aggregate({_blocks(block)}, 0L, (x, j) ->
         x + (least(lo + size, (j + 1) * {block}) - greatest(lo, j * {block})) * (base + if({_perm("j")}, 1, 0))))"""
@@ -176,19 +183,40 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     them): every document as often as all its blocks are taken, and once more,
     with the words of just those blocks, if some are taken once more. What is
     not taken goes; see mix()."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    p = plan(docs, source_col, size, weights, block, seed)
-    rows = _placed(docs.withColumn("size", size), p).where("size > 0")
-    part = F.expr(
-        f"""if(extra = 0, '', array_join(flatten(transform(filter({_blocks(block)}, j -> {_perm("j")}),
-        j -> slice(regexp_extract_all({text_col}, r'{WORD}', 0), int(greatest(lo, j * {block}) - lo + 1), int(least(lo + size, (j + 1) * {block}) - greatest(lo, j * {block}))))), ' '))"""
-    )
-    rows = rows.withColumn("part", part)
-    texts = F.explode(F.concat(F.array_repeat(F.col(text_col), F.col("base").cast("int")), F.when(F.col("part") != "", F.array("part")).otherwise(F.array().cast("array<string>"))))
-    rows = rows.select(*[c for c in docs.columns if c not in (text_col, "n_chars")], texts.alias(text_col))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast("long"))
-    return rows.select(*docs.columns)
+    small_batches(docs.sparkSession)
+    p = plan(docs, source_col, size_of(text_col), weights, block, seed)
+    # Names could clash with the plan's, so the columns are numbered in between.
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*at.values()).withColumns({"doc_id": F.col(at["doc_id"]), "source": F.col(at[source_col]).cast("string")})
+    rows = _placed(plain.withColumn("size", size_of(at[text_col])), p).where("size > 0").select(*at.values(), "lo", "size", "a", "b", "m", "base", "extra")
+    schema = StructType([*rows.schema.fields, StructField("part", StringType())])
+    rows = rows.mapInArrow(_cut(block, docs.columns.index(text_col), len(docs.columns)), schema)
+    t = F.col(at[text_col])
+    texts = F.concat(F.array_repeat(t, F.col("base").cast("int")), F.when(F.col("part").isNotNull(), F.array("part")).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn(at[text_col], F.explode(texts))
+    if "n_chars" in at:
+        rows = rows.withColumn(at["n_chars"], F.length(at[text_col]).cast("long"))
+    return rows.select(*at.values()).toDF(*at)
+
+
+def _cut(block: int, text: int, n: int):
+    """Adds the words of the blocks that are taken once more, or null for none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            parts = []
+            for t, lo, size, a, b, m, extra in zip(x.column(text), *(x.column(n + k).to_pylist() for k in (0, 1, 2, 3, 4, 6))):
+                js = [j for j in range(lo // block, (lo + size - 1) // block + 1) if (a * j + b) % m < extra] if extra else ()
+                if not js:
+                    parts.append(None)
+                    continue
+                w, own = t.as_buffer().to_pybytes().split(), []
+                for j in js:
+                    own += w[max(lo, j * block) - lo : (j + 1) * block - lo]
+                parts.append(b" ".join(own))
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(parts, pa.binary()).cast(pa.string())], [*x.schema.names, "part"])
+
+    return run
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
