@@ -20,9 +20,13 @@ def scan(spark: SparkSession, root: str, recursive: bool = True, skip_hidden: bo
     files but system and hidden ones. Without `content` no bytes are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     prefix = root.rstrip("/").removeprefix("file://") + "/"
-    plain = F.regexp_replace("path", r"^file:/+", "/")
-    rel = F.substring(plain, F.lit(len(prefix) + 1), F.length(plain))
-    out = files.select(rel.alias("path"), plain.alias("file"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+    local = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    rows = files.select(local(F.col("path")).alias("file"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+    # The reader passes over empty files; the index that it lists them from doesn't.
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string").select(local(F.col("file")).alias("file"))
+    none = listed.join(rows.select("file"), "file", "left_anti").select("file", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"), *([F.lit(b"").alias("content")] if content else []))
+    out = rows.unionByName(none)
+    out = out.withColumn("path", F.substring("file", F.lit(len(prefix) + 1), F.length("file"))).select("path", "file", "length", "modified", *(["content"] if content else []))
     out = out.where(~is_system_file(F.col("path")))
     if skip_hidden:
         out = out.where(~is_hidden(F.col("path")))
