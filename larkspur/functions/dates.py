@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 
 from .text import rewrite
 
-_FULL = "January|February|March|April|May|June|July|August|September|October|November|December"
-_SHORT = "Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+_FULL = "|".join("January February March April May June July August September October November December".split())
+_SHORT = "|".join("Jan Feb Mar Apr Jun Jul Aug Sep Oct Nov Dec".split())
 _NAME = f"(?:{_FULL}|{_SHORT})"
-_ISO = r"\d{4}-\d{2}-\d{2}"
+_ISO = "[0-9]{4}(?:-[0-9]{2}){2}"
+_CLOCK = "[0-9]{2}(?::[0-9]{2}){2}"
+_POINTS, _SLASHES = r"(?:[0-9]{2}\.){2}[0-9]{4}", "(?:[0-9]{2}/){2}[0-9]{4}"
 #: What counts as a date in running text, the longer spelling first.
-PATTERN = (
-    r"(?i)\b(?:" + rf"{_ISO}[T\s]\d{{2}}:\d{{2}}:\d{{2}}|{_ISO}\s+\d{{1,2}}:\d{{2}}\s*[ap]m|{_ISO}|\d{{2}}\.\d{{2}}\.\d{{4}}|\d{{2}}/\d{{2}}/\d{{4}}"
-    rf"|{_NAME}\s+\d{{1,2}},?\s+\d{{4}}|\d{{1,2}}\s+{_NAME}\s+\d{{4}}" + r")\b"
-)
+PATTERN = rf"(?i)\b(?:{_ISO}[T\s]{_CLOCK}|{_ISO}\s+[0-9]{{1,2}}:[0-9]{{2}}\s*[ap]m|{_ISO}|{_POINTS}|{_SLASHES}|{_NAME}\s+[0-9]{{1,2}},?\s+[0-9]{{4}}|[0-9]{{1,2}}\s+{_NAME}\s+[0-9]{{4}})\b"
 #: In transcripts clock times stay apart and months after the day are written out.
-SPOKEN = r"(?i)\b(?:" + rf"{_ISO}[T\s]\d{{2}}:\d{{2}}:\d{{2}}|{_ISO}|\d{{2}}\.\d{{2}}\.\d{{4}}|\d{{2}}/\d{{2}}/\d{{4}}|{_NAME}\s+\d{{1,2}},?\s+\d{{4}}|\d{{1,2}}\s+(?:{_FULL})\s+\d{{4}}" + r")\b"
+SPOKEN = rf"(?i)\b(?:{_ISO}[T\s]{_CLOCK}|{_ISO}|{_POINTS}|{_SLASHES}|{_NAME}\s+[0-9]{{1,2}},?\s+[0-9]{{4}}|[0-9]{{1,2}}\s+(?:{_FULL})\s+[0-9]{{4}})\b"
 
 _CLOCKS = ("", " H:m:s", " H:m")
 #: (shape, reading, writing), tried in this order; day first before month first.

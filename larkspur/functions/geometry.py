@@ -49,13 +49,14 @@ def rescale(b: Column, sx: Column, sy: Column, width: Column, height: Column) ->
     return box(x0, y0, x1 - x0, y1 - y0)
 
 
-WINDOWS = ((384, 96), (384, 128), (256, 64))
+#: Heights and widths.
+WINDOWS = ((96, 384), (128, 384), (64, 256))
 
 
 def window_grid(images: DataFrame, windows=WINDOWS) -> DataFrame:
     """Half-overlapping windows over every image (width, height): one row each,
     cut at the image's edges and large enough to be read (32 by 16)."""
-    shapes = F.array(*[F.struct(F.lit(i).alias("size_no"), F.lit(w).alias("ww"), F.lit(h).alias("wh")) for i, (w, h) in enumerate(windows)])
+    shapes = F.array(*[F.struct(F.lit(i).alias("size_no"), F.lit(w).alias("ww"), F.lit(h).alias("wh")) for i, (h, w) in enumerate(windows)])
     rows = images.withColumn("win", F.explode(shapes)).select(*images.columns, "win.*")
     rows = rows.withColumn("wx", F.explode(F.sequence(F.lit(0), F.greatest(F.col("width") - 1, F.lit(0)), F.expr("ww div 2"))))
     rows = rows.withColumn("wy", F.explode(F.sequence(F.lit(0), F.greatest(F.col("height") - 1, F.lit(0)), F.expr("wh div 2"))))

@@ -145,7 +145,7 @@ def last_yes_no(c: Column) -> Column:
     return F.coalesce(F.try_element_at(found, F.lit(-1)) == "YES", F.lit(False))
 
 
-_KINDS = ("name", "date_of_birth", "id_number", "address", "phone", "email", "location", "dates", "dob", "mrn", "patient_id")
+_KINDS = tuple("address date_of_birth dates email id_number location name phone".split())
 
 
 def pii_type(c: Column) -> Column:

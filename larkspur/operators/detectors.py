@@ -84,7 +84,7 @@ def _without_thinking(s: str) -> str:
 
 
 _USUAL = {"dob": "date_of_birth", "mrn": "id_number", "patient_id": "id_number"}
-_KNOWN = {"name", "date_of_birth", "id_number", "address", "phone", "email", "location", "dates", *_USUAL}
+_KNOWN = {*"address date_of_birth dates email id_number location name phone".split(), *_USUAL}
 
 
 def _from_json(found: object) -> list[dict] | None:

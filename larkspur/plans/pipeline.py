@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.text import base_name, is_open, mask, redact_literals, stem, substitute_parts
+from ..functions.text import base_name, is_open, mask, redact_literals, stem
 from ..operators import paths, state
 from ..operators.detectors import Detector, RuleDetector, detect
 from ..operators.documents import chunks
@@ -150,9 +150,11 @@ def deidentify_directory(
     made = whole.groupBy("path").applyInPandas(_assemble, "path string, content binary, error string")
     empty = todo.where(F.col("length") == 0).select("path", "content", F.lit(None).cast("string").alias("error"))
     made = made.unionByName(empty.join(made.select("path"), "path", "left_anti"))
-    parts = folders.agg(F.map_from_entries(F.collect_list(F.struct("folder", "alias"))).alias("names"))  # one row; as many entries as folders
-    placed = todo.join(aliases.select("folder", "name", "alias"), ["folder", "name"]).crossJoin(F.broadcast(parts))
-    target = F.concat_ws("/", F.when(F.col("folder") != "", substitute_parts(F.col("folder"), F.col("names"))), "alias")
+    parts = todo.select("path", F.posexplode(F.split("folder", "/")).alias("n", "part")).join(folders.select(F.col("folder").alias("part"), F.col("alias").alias("as")), "part", "left")
+    each = F.struct("n", F.coalesce("as", "part").alias("as"))
+    where = parts.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["as"]), "/").alias("to_folder"))
+    placed = todo.join(aliases.select("folder", "name", "alias"), ["folder", "name"]).join(where, "path")
+    target = F.concat_ws("/", F.when(F.col("folder") != "", F.col("to_folder")), "alias")
     placed = placed.select("path", "hash", target.alias("to"))
     status = F.when(F.col("why").isNotNull() | F.col("failed"), "failed").when(F.col("left"), "unverified").otherwise("clean")
     ready = placed.join(judged, "path", "left").join(made, "path", "left").withColumn("status", status)
