@@ -166,7 +166,7 @@ def email(s: str, c: Cipher) -> str | None:
     return classes(local, c, "email@" + domain.lower()) + "@" + domain
 
 
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+MONTHS = tuple("January February March April May June July August September October November December".split())
 
 
 def _shift_date(y: int, m: int, d: int, c: Cipher) -> date | None:
@@ -235,7 +235,7 @@ def _pattern() -> re.Pattern:
         shift += n + 1
     # The first characters keep the search from trying at every letter; an @
     # later in the same word is what an address needs.
-    return re.compile(r"(?<![A-Za-z0-9_])(?=[0-9+(]|[A-Za-z]{2}\d|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)|[\w.%+-]+@)(?<![0-9][.,-])(?:" + "|".join(parts) + r")(?![A-Za-z0-9_]|[.-]\d)")
+    return re.compile(r"(?<![A-Za-z0-9_])(?=[0-9+(]|[A-Za-z]{2}\d|(?:" + "|".join(m[:3] for m in MONTHS) + r")|[\w.%+-]+@)(?<![0-9][.,-])(?:" + "|".join(parts) + r")(?![A-Za-z0-9_]|[.-]\d)")
 
 
 PATTERN = _pattern()

@@ -39,8 +39,11 @@ def _range_of(splitters: list[tuple[int, int]]):
         k, t = key.to_numpy(np.int64), tie.to_numpy(np.int64)
         lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
         out = hi.copy()
-        for j in np.flatnonzero(hi - lo > 0):
-            out[j] = lo[j] + np.searchsorted(ids[lo[j] : hi[j]], t[j], "right")
+        split = np.flatnonzero(hi > lo)
+        for a in np.unique(lo[split]):  # one step a divided key, not a row
+            own = split[lo[split] == a]
+            z = hi[own[0]]
+            out[own] = a + np.searchsorted(ids[a:z], t[own], "right")
         return pd.Series(out.astype(np.int32))
 
     return place
