@@ -63,8 +63,9 @@ def match_pages(pii: DataFrame, ocr: DataFrame, least: float = 0.6) -> DataFrame
     type) with the box of its ocr row (file, page, ocr_idx, text, box), nulls
     where none fits. One page is one group, bounded by what a page holds."""
 
-    def run(key: tuple, p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        p, o = p.sort_values("pii_idx"), o.sort_values("ocr_idx")
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        p = page[page["pii_idx"].notna()].sort_values("pii_idx").astype({"pii_idx": int})
+        o = page[page["pii_idx"].isna()].sort_values("ocr_idx").astype({"ocr_idx": int})
         got = greedy_match(list(p["text"]), list(o["text"]), least)
         rows = []
         for (_, w), k in zip(p.iterrows(), got):
@@ -74,7 +75,9 @@ def match_pages(pii: DataFrame, ocr: DataFrame, least: float = 0.6) -> DataFrame
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in _MATCHED.split(", ")])
         return out.astype({c: "Int32" for c in ("ocr_idx", "x", "y", "width", "height")})
 
-    return pii.groupBy("file", "page").cogroup(ocr.groupBy("file", "page")).applyInPandas(run, _MATCHED)
+    # One table of both: the sides of a cogroup may stem from one and lose columns.
+    both = pii.select("file", "page", "pii_idx", "text", "type").unionByName(ocr.select("file", "page", "ocr_idx", "text", "x", "y", "width", "height"), allowMissingColumns=True)
+    return both.groupBy("file", "page").applyInPandas(run, _MATCHED)
 
 
 def first_match(pii: DataFrame, ocr: DataFrame) -> DataFrame:
