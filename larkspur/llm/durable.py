@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,3 +38,10 @@ def small_batches(spark: SparkSession) -> None:
     now = spark.conf.get(name, None) or ""
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that are no longer
+    used; it learns of them only when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -23,12 +23,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .durable import durable, shared_path, small_batches
+from .durable import durable, release, shared_path, small_batches
 
 BANDS, ROWS = 32, 4
 _U = np.uint64
@@ -182,6 +183,25 @@ def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _among(pairs: DataFrame, bits: int = 1 << 25):
+    """A filter of ids: false only if an id is in no pair. Its bitmap has a fixed
+    size; a full one lets more texts through to the join, which decides."""
+    ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i")))
+    at = ids.select((F.pmod(F.xxhash64("i"), F.lit(bits)) + 1).alias("p"))  # Spark counts bits from 1
+    maps = at.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+    held = np.zeros((bits // 32768, 4096), np.uint8)  # bits / 8 bytes, as many at most collected
+    for k, m in maps:
+        held[k - 1] = np.frombuffer(m, np.uint8)
+    sent = pairs.sparkSession.sparkContext.broadcast(held.tobytes())
+
+    @F.pandas_udf("boolean")
+    def test(p: pd.Series) -> pd.Series:
+        x = p.fillna(0).to_numpy(np.int64)
+        return pd.Series((np.frombuffer(sent.value, np.uint8)[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda col: test(F.pmod(F.xxhash64(col), F.lit(bits)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, links). members, per row of `docs`: doc_id, class_id (the least
     id of its connected component), copies (rows whose text has the same
@@ -219,14 +239,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         pairs = open_.join(first, "key").where("r <> h and c <> hc").select(F.least("r", "h").alias("a"), F.greatest("r", "h").alias("b")).distinct()
         pairs = _written(spark, pairs, "pairs")
-        one = pairs.join(base.withColumnRenamed("t", "ta"), F.col("a") == F.col("i")).drop("i")
-        two = one.join(base.withColumnRenamed("t", "tb"), F.col("b") == F.col("i")).select("a", "b", "ta", "tb")
+        wanted = base.where(_among(pairs)("i"))
+        one = pairs.join(wanted.withColumnRenamed("t", "ta"), F.col("a") == F.col("i")).drop("i")
+        two = one.join(wanted.withColumnRenamed("t", "tb"), F.col("b") == F.col("i")).select("a", "b", "ta", "tb")
         new = two.mapInArrow(_verify(least), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
         links = durable(new if links is None else links.unionByName(new))
         comp = components(links)
         # A hub is compared with all that its band holds and is not looked at again.
         active = open_.select("key", "r").join(first.select("key", F.col("h").alias("r")), ["key", "r"], "left_anti")
         hubs *= 4
+        del placed, mixed, first, pairs, wanted, one, two, new
+        release(spark)
     if links is None:
         links = spark.createDataFrame([], "a long, b long, similarity double")
         comp = spark.createDataFrame([], "v long, c long")
