@@ -91,7 +91,7 @@ def shift_token(x: Column, days: Column) -> Column:
 def shift_text(c: Column, days: Column | int, pattern: str = PATTERN) -> Column:
     """Every date of a text moved, in one pass, so none is moved twice."""
     days = F.lit(days) if isinstance(days, int) else days
-    return rewrite(c, pattern, lambda x: shift_token(x, days))
+    return rewrite(c, pattern, lambda x: shift_token(x, days), "[0-9]")
 
 
 def shift_tag(c: Column, days: Column | int) -> Column:

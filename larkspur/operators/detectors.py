@@ -30,6 +30,8 @@ class Detector(Protocol):
 class RuleDetector:
     """E-mail, telephone, card and IPv4 numbers, and runs of six digits."""
 
+    batch = 4096
+
     def __init__(self, rules: dict[str, str] | None = None) -> None:
         self.rules = rules or {**RULES, "id_number": r"(?<![0-9])[0-9]{6,}(?![0-9])"}
 
@@ -142,12 +144,14 @@ def with_retry(call: Callable, tries: int = 5, sleep: Callable[[float], None] =
     raise AssertionError("unreachable")
 
 
-def detect(units: DataFrame, detector: Detector, batch: int = 15, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def detect(units: DataFrame, detector: Detector, batch: int | None = None, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """FOUND rows for units (unit, col, text). Arrow batches are cut to `batch`
-    units a call. A call that fails leaves one row a unit with its error and no
+    units a call, by default the detector's own `batch` or 15. A call that fails leaves one row a unit with its error and no
     text, so that callers can fail closed; blank texts, and texts that don't
     stand in their unit, are dropped."""
 
+    batch = batch or getattr(detector, "batch", 15)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lo in range(0, len(f), batch):
