@@ -10,12 +10,12 @@ a horizon at which all slots are filled, about m log m of them however long the
 text is.
 
 Texts with equal multisets are one class first. Signatures are cut into bands;
-texts that share a band are compared with the least of them, the band's hub, and
-the exact multiset overlap decides. Where a band still holds several components
-its next hubs are compared with the others, four times as many each round, until
-every pair that shares a band is linked, joined by links or compared. So groups of
-near copies cost one comparison a member, and no link between components is
-lost.
+every two texts that share a band are compared once, and the exact multiset
+overlap decides. Texts have a home, a block of bounded size of those with the
+same least neighbour; a text is sent once to every pair of homes in which it
+shares a band with another, and all comparisons of two homes are made there. So
+a group of k near copies costs k^2 / 2 comparisons in units of at most
+2 * HOME texts, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .durable import durable, release, shared_path, small_batches
+from .durable import durable, release, small_batches
 
 BANDS, ROWS = 32, 4
+#: Texts of a home, about; members of a band by salt.
+HOME, SALT = 128, 4096
 _U = np.uint64
 
 
@@ -123,36 +125,115 @@ def _sign(bands: int, rows: int) -> Callable:
 
 def overlap(a: str, b: str) -> float:
     """The exact weighted Jaccard similarity of two texts."""
-    return float(_overlaps(pa.array([a]), pa.array([b]))[0])
-
-
-def _overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
-    out = np.zeros(len(a))
-    n = 256
-    for lo in range(0, len(a), n):
-        k = len(a.slice(lo, n))
-        both = []
-        for col in (a, b):
-            col = col.slice(lo, k)
-            buf, offs = tk.string_buffers(col)
-            both.append(features(buf[offs[0] : offs[-1]], offs - offs[0]))
-        d = np.concatenate([both[0][0], both[1][0]])
-        h = np.concatenate([both[0][1], both[1][1]])
-        c = np.concatenate([both[0][2], both[1][2]])
-        order = np.lexsort((h, d))
-        same = np.flatnonzero((h[order][1:] == h[order][:-1]) & (d[order][1:] == d[order][:-1]))
-        shared = np.bincount(d[order][same], np.minimum(c[order][same], c[order][same + 1]), minlength=k)
-        total = np.bincount(d, c, minlength=k)
-        out[lo : lo + k] = shared / np.maximum(total - shared, 1)
-    return out
-
-
-def _verify(least: float) -> Callable:
+    return float(_overlaps(pa.array([a, b]), np.array([0]), np.array([1]))[0])
+
+
+def _overlaps(texts: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of the pairs (a, b) of `texts`, by index; a is sorted."""
+    ds, hs, cs = [], [], []
+    for lo, _, buf, offs in tk.chunks(texts):
+        d, h, c = features(buf, offs)
+        ds.append(d + lo)
+        hs.append(h)
+        cs.append(c)
+    d, c = np.concatenate(ds), np.concatenate(cs)
+    names, f = np.unique(np.concatenate(hs), return_inverse=True)
+    at = np.searchsorted(d, np.arange(len(texts) + 1))
+    total = np.bincount(d, c, minlength=len(texts))
+    shared = np.zeros(len(a))
+    held = np.zeros(len(names), np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    for lo, hi in zip(heads, [*heads[1:], len(a)]):
+        own = slice(at[a[lo]], at[a[lo] + 1])
+        held[f[own]] = c[own]
+        for m in range(lo, hi, 32):  # so many texts' word pairs are looked up at once
+            two = b[m : min(m + 32, hi)]
+            n = at[two + 1] - at[two]
+            k = np.arange(n.sum()) + np.repeat(at[two] - (np.cumsum(n) - n), n)
+            shared[m : m + len(two)] = np.bincount(np.repeat(np.arange(len(two)), n), np.minimum(held[f[k]], c[k]), minlength=len(two))
+        held[f[own]] = 0
+    return shared / np.maximum(total[a] + total[b] - shared, 1)
+
+
+def _candidates(key: np.ndarray, at: np.ndarray, ids: np.ndarray, home: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one unit's texts, ids a < b, that share one of their keys
+    key[at[k] : at[k + 1]]; of different homes, unless the unit is `one` home."""
+    n = len(ids)
+    names, k = np.unique(key, return_inverse=True)
+    shared = np.zeros((n, n), np.float32)
+    for lo in range(0, len(names), 4096):
+        held = np.zeros((n, min(4096, len(names) - lo)), np.float32)
+        now = (k >= lo) & (k < lo + 4096)
+        held[np.repeat(np.arange(n), np.diff(at))[now], k[now] - lo] = 1
+        shared += held @ held.T
+    ok = (shared > 0) & (ids[:, None] < ids[None, :])
+    if not one:
+        ok &= home[:, None] != home[None, :]
+    return np.nonzero(ok)
+
+
+def _star(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of n vertices each is connected to by the edges (a, b)."""
+    low = np.arange(n)
+    while True:
+        now = low.copy()
+        np.minimum.at(now, a, low[b])
+        np.minimum.at(now, b, low[a])
+        now = now[now]
+        if (now == low).all():
+            return low
+        low = now
+
+
+_UNIT = ["g1", "g2", "g", "r", "keys", "t"]
+_LINK = "a long, b long, similarity double"
+
+
+def _compare(least: float) -> Callable:
+    """Links of every unit (g1, g2), whose rows come one after the other; and,
+    without a similarity, each linked text with the least one it hangs on there."""
+
+    def unit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        col = [rows.column(c).combine_chunks() for c in _UNIT]
+        home, ids = col[2].to_numpy(), col[3].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        at = np.concatenate([[0], np.cumsum(col[4].value_lengths().to_numpy(zero_copy_only=False))])
+        a, b = _candidates(col[4].flatten().to_numpy(), at, ids, home, col[0][0] == col[1][0])
+        if not len(a):
+            return
+        s = _overlaps(col[5], a, b)
+        keep = s >= least
+        x, y, s = ids[a[keep]], ids[b[keep]], s[keep]
+        if len(order) != len(np.unique(ids)):  # rows that share an id: the best of their texts
+            way = np.lexsort((-s, y, x))
+            x, y, s = x[way], y[way], s[way]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            x, y, s = x[new], y[new], s[new]
+        if not len(x):
+            return
+        names = np.unique(ids)
+        low = _star(np.searchsorted(names, x), np.searchsorted(names, y), len(names))
+        moved = np.flatnonzero(low != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s)], ["a", "b", "similarity"])
+        yield pa.RecordBatch.from_arrays([pa.array(names[low[moved]]), pa.array(names[moved]), pa.nulls(len(moved), pa.float64())], ["a", "b", "similarity"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = _overlaps(b.column(2), b.column(3))
-            keep = np.flatnonzero(s >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(s[keep])], ["a", "b", "similarity"])
+        rest, last = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            g1, g2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])) + 1), len(batch)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if rest and last != (g1[lo], g2[lo]):
+                    yield from unit(pa.Table.from_batches(rest))
+                    rest = []
+                last = g1[lo], g2[lo]
+                rest.append(batch.slice(lo, hi - lo))
+        if rest:
+            yield from unit(pa.Table.from_batches(rest))
 
     return run
 
@@ -177,22 +258,15 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(e.select(F.col("v"), F.col("v").alias("c")).distinct())
 
 
-def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(spark, name)
-    df.write.parquet(path)  # read with its true size, unlike a checkpoint
-    return spark.read.parquet(path)
-
-
-def _among(pairs: DataFrame, bits: int = 1 << 25):
-    """A filter of ids: false only if an id is in no pair. Its bitmap has a fixed
-    size; a full one lets more texts through to the join, which decides."""
-    ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i")))
-    at = ids.select((F.pmod(F.xxhash64("i"), F.lit(bits)) + 1).alias("p"))  # Spark counts bits from 1
+def _among(ids: DataFrame, bits: int = 1 << 25):
+    """A filter of ids: false only if an id is none of `ids` (r). Its bitmap has a
+    fixed size; a full one lets more texts through to the join, which decides."""
+    at = ids.select((F.pmod(F.xxhash64("r"), F.lit(bits)) + 1).alias("p"))  # Spark counts bits from 1
     maps = at.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
     held = np.zeros((bits // 32768, 4096), np.uint8)  # bits / 8 bytes, as many at most collected
     for k, m in maps:
         held[k - 1] = np.frombuffer(m, np.uint8)
-    sent = pairs.sparkSession.sparkContext.broadcast(held.tobytes())
+    sent = ids.sparkSession.sparkContext.broadcast(held.tobytes())
 
     @F.pandas_udf("boolean")
     def test(p: pd.Series) -> pd.Series:
@@ -221,38 +295,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = named.groupBy("x", "y").agg(F.min(F.struct("i", "bands")).alias("r"), F.count("*").alias("copies")).select("x", "y", F.col("r.i").alias("r"), "copies", F.col("r.bands").alias("bands"))
     reps = durable(reps)
     keyed = reps.select(F.explode("bands").alias("key"), "r")
-    shared = keyed.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi")
-    # Members of bands that several texts share, with their component so far.
-    active = keyed.join(shared.select("key"), "key", "left_semi").distinct()
-    links = comp = None
-    hubs = 1
-    while True:
-        placed = active.withColumn("c", F.col("r")) if comp is None else active.join(comp, F.col("r") == F.col("v"), "left").select("key", "r", F.coalesce("c", "r").alias("c"))
-        placed = durable(placed)
-        mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        open_ = durable(placed.join(mixed, "key"))
-        # A rank limit, of which each task keeps its own before the shuffle.
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("r"))
-        first = open_.withColumn("nth", nth).where(F.col("nth") <= hubs).select("key", F.col("r").alias("h"), F.col("c").alias("hc"))
-        first = _written(spark, first, "hubs")
-        if first.isEmpty():
-            break
-        pairs = open_.join(first, "key").where("r <> h and c <> hc").select(F.least("r", "h").alias("a"), F.greatest("r", "h").alias("b")).distinct()
-        pairs = _written(spark, pairs, "pairs")
-        wanted = base.where(_among(pairs)("i"))
-        one = pairs.join(wanted.withColumnRenamed("t", "ta"), F.col("a") == F.col("i")).drop("i")
-        two = one.join(wanted.withColumnRenamed("t", "tb"), F.col("b") == F.col("i")).select("a", "b", "ta", "tb")
-        new = two.mapInArrow(_verify(least), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-        links = durable(new if links is None else links.unionByName(new))
-        comp = components(links)
-        # A hub is compared with all that its band holds and is not looked at again.
-        active = open_.select("key", "r").join(first.select("key", F.col("h").alias("r")), ["key", "r"], "left_anti")
-        hubs *= 4
-        del placed, mixed, first, pairs, wanted, one, two, new
-        release(spark)
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long, similarity double")
-        comp = spark.createDataFrame([], "v long, c long")
+    shared = keyed.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
+    # Members of bands that several texts share.
+    active = durable(keyed.join(shared, "key").distinct())
+    member = active.groupBy("r").agg(F.min("lo").alias("h"), F.collect_set("key").alias("keys"))
+    size = member.groupBy("h").agg(F.ceil(F.count("*") / HOME).alias("blocks"))
+    homes = durable(member.join(size, "h").select("r", F.xxhash64("h", F.pmod(F.xxhash64("r"), F.col("blocks"))).alias("g"), "keys"))
+    placed = active.join(homes.select("r", "g"), "r").select("key", "r", "g", F.ceil(F.col("n") / SALT).alias("salts"))
+    # A band's homes, once for each of its salts, and whether it joins two texts there.
+    seats = placed.groupBy("key", "g", "salts").agg((F.count("*") > 1).alias("several"))
+    seats = seats.select("key", F.col("g").alias("other"), "several", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    sent = placed.withColumn("salt", F.pmod(F.xxhash64("r"), F.col("salts"))).join(seats, ["key", "salt"]).where("g <> other or several")
+    sent = durable(sent.select(F.least("g", "other").alias("g1"), F.greatest("g", "other").alias("g2"), "g", "r").distinct())
+    wanted = base.where(_among(homes)("i"))
+    full = wanted.join(homes.select("r", "keys"), F.col("i") == F.col("r")).select("r", "keys", "t").join(sent, "r").select(*_UNIT)
+    found = durable(full.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_compare(least), _LINK))
+    links = found.where("similarity is not null")
+    del shared, active, member, size, homes, placed, seats, sent, wanted, full
+    release(spark)
+    comp = components(found.where("similarity is null").select("a", "b"))
     ends = links.select(F.col("a").alias("r")).unionByName(links.select(F.col("b").alias("r"))).groupBy("r").agg(F.count("*").alias("n_links"))
     classes = reps.select("x", "y", "r", "copies").join(comp, F.col("r") == F.col("v"), "left").join(ends, "r", "left")
     classes = classes.select("x", "y", F.coalesce("c", "r").alias("c"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))

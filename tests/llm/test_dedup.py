@@ -167,6 +167,22 @@ def near_pairs(df):
     return members.collect(), links.collect()
 
 
+def test_no_link_is_lost(docs, prose, monkeypatch):
+    monkeypatch.setattr(minhash, "SALT", 7)
+    base = prose(120).split()
+    for home in (128, 4):
+        monkeypatch.setattr(minhash, "HOME", home)
+        rows = [(k, " ".join([*base[:k], "w%d" % k, *base[k + 1 :]])) for k in range(30)] + [(40 + k, prose(60)) for k in range(5)]
+        rows += [(k + 100, t) for k, t in rows[:10]]  # exact copies add no link
+        members, links = near_pairs(docs(rows))
+        bags = {i: bag(t) for i, t in rows if i < 100}
+        want = {(i, j): jaccard(bags[i], bags[j]) for i in bags for j in bags if i < j and jaccard(bags[i], bags[j]) >= 0.6}
+        assert len(want) == 30 * 29 / 2
+        assert sorted((r.a, r.b) for r in links) == sorted(want) and all(abs(want[r.a, r.b] - r.similarity) < 1e-12 for r in links)
+        ends = Counter(i for pair in want for i in pair)
+        assert {m.doc_id: (m.class_id, m.n_links) for m in members} == {i: (0 if i % 100 < 30 else i, ends[i % 100 if i >= 100 else i]) for i, _ in rows}
+
+
 def test_one_of_each(docs, prose, odd):
     t = prose(50)
     rows = [(1, t), (2, t), (3, t + " more"), (4, prose(50)), (4, prose(50)), (None, t)] + [(r[0] and r[0] + 10, r[1]) for r in odd]
