@@ -65,11 +65,11 @@ class _Bags:
         self.key, one, number = np.unique(h, return_index=True, return_inverse=True)
         self.number = number.astype(np.int32)
         self.owner, self.feat = bag(low, s[one], e[one], grams, buckets)
-        # A word said again within half a passage counts for nothing the second time.
+        # A word said again in its document within half a passage counts for nothing the second time.
         order = np.argsort(self.number, kind="stable")
+        doc = tk.doc_of(self.first)[order]
         near = np.zeros(len(h), bool)
-        near[order[1:]] = (self.number[order[1:]] == self.number[order[:-1]]) & (order[1:] - order[:-1] <= PASSAGE // 2)
-        near[self.first[self.first < len(h)]] = False
+        near[order[1:]] = (self.number[order[1:]] == self.number[order[:-1]]) & (doc[1:] == doc[:-1]) & (order[1:] - order[:-1] <= PASSAGE // 2)
         self.counts = ~near
         self._measure()
 

@@ -7,8 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from larkspur.llm import counts, labelled, pii, quality, toxicity
+from larkspur.llm import tokens as tk
 from larkspur.llm.catalog import QUERIES
 
 BAD = ["blargh", "snorf", "gribble", "zonkle", "flurb"]
@@ -50,6 +52,22 @@ def test_toxicity_without_labels(spark, docs, labels):
     assert toxicity.toxicity_scores(docs([]), lab).count() == 0
 
 
+def test_scores_do_not_depend_on_neighbours(prose):
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 9, 1 << 12).astype(np.float32), -0.3)
+    short = prose(11)
+    texts = [short, short, "a b a b a", "b a", "", None, short, prose(60), short.upper(), prose(3)]
+
+    def scores(of):
+        buf, offs = tk.string_buffers(pa.array(of, pa.string()))
+        return model.score(buf, offs)
+
+    alone = np.array([scores([t])[0] for t in texts])
+    assert len(set(alone.round(9))) > 4
+    for way in (np.arange(len(texts)), np.arange(len(texts))[::-1], rng.permutation(len(texts))):
+        assert np.allclose(scores([texts[k] for k in way]), alone[way], rtol=0, atol=1e-9)
+
+
 def test_without_toxic_keeps_columns(spark, docs, prose):
     rows, labels = toxic_rows(prose, 300, 2)
     lab = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
