@@ -80,14 +80,67 @@ def match_pages(pii: DataFrame, ocr: DataFrame, least: float = 0.6) -> DataFrame
     return both.groupBy("file", "page").applyInPandas(run, _MATCHED)
 
 
-def first_match(pii: DataFrame, ocr: DataFrame) -> DataFrame:
-    """For what a check still found: the first ocr row of its page that equals,
-    holds or lies in it; rows may serve more than once."""
-    both = pii.join(ocr.withColumnRenamed("text", "seen"), ["file", "page"]).where(F.contains(F.lower(F.trim("text")), F.lower(F.trim("seen"))) | F.contains(F.lower(F.trim("seen")), F.lower(F.trim("text"))))
+def _first(both: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("file", "page", "pii_idx").orderBy("ocr_idx"))
     return both.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
+def first_holding(pii: DataFrame, ocr: DataFrame) -> DataFrame:
+    """The first ocr row of the page that equals, holds or lies in each pii text,
+    however short; rows may serve more than once."""
+    a, b = F.lower(F.trim("text")), F.lower(F.trim("seen"))
+    return _first(pii.join(ocr.withColumnRenamed("text", "seen"), ["file", "page"]).where(F.contains(a, b) | F.contains(b, a)))
+
+
+def first_match(pii: DataFrame, ocr: DataFrame, least: float = 0.6) -> DataFrame:
+    """For what a check still found: the first ocr row of its page that fits by
+    match_score(); rows may serve more than once."""
+
+    @F.pandas_udf("boolean")
+    def fits(wanted: pd.Series, seen: pd.Series) -> pd.Series:
+        return pd.Series([match_score(a or "", b or "", least) > 0 for a, b in zip(wanted, seen)], dtype=bool)
+
+    return _first(pii.join(ocr.withColumnRenamed("text", "seen"), ["file", "page"]).where(fits("text", "seen")))
+
+
+def worth_reading(boxes: DataFrame, least_width: int = 32, least_height: int = 16) -> DataFrame:
+    """Crops large enough for a handwriting reader; 10 x 10 does for regions that
+    a detector found."""
+    return boxes.where((F.col("width") >= least_width) & (F.col("height") >= least_height))
+
+
+def readable_whole(images: DataFrame, most_width: int = 800, most_height: int = 200) -> DataFrame:
+    """Images small enough to be read in one pass as well."""
+    return images.where((F.col("width") <= most_width) & (F.col("height") <= most_height))
+
+
+def sure_readings(ocr: DataFrame, least_chars: int = 2, least_score: float = 0.3) -> DataFrame:
+    """Readings of some length that the reader is sure of."""
+    return ocr.where((F.length(F.trim("text")) >= least_chars) & (F.col("confidence") >= least_score))
+
+
+def match_remaining(pii: DataFrame, ocr: DataFrame, handwriting: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """(matched, missed) of what a check still found. matched: pii with the box
+    and text (seen) of its first_match() in `ocr`, or of one sure reading in
+    `handwriting` for the rest, one to one, 0.1 laxer but 0.45 at least. missed:
+    the rest that no text matched there holds, lies in or resembles by 0.4."""
+    key = ["file", "page", "pii_idx"]
+    box = ["ocr_idx", "x", "y", "width", "height"]
+    one = first_match(pii, ocr, least).select(*key, "text", "type", *box, "seen")
+    rest = pii.join(one, key, "left_anti")
+    hand = sure_readings(handwriting)
+    two = match_pages(rest.where("text is not null"), hand, max(0.45, least - 0.1)).where("ocr_idx is not null").select(*key, "text", "type", *box)
+    two = two.join(hand.select("file", "page", "ocr_idx", F.col("text").alias("seen")), ["file", "page", "ocr_idx"]).select(one.columns)
+
+    @F.pandas_udf("boolean")
+    def alike(wanted: pd.Series, seen: pd.Series) -> pd.Series:
+        pairs = [((a or "").lower().strip(), (b or "").lower().strip()) for a, b in zip(wanted, seen)]
+        return pd.Series([a in b or b in a or SequenceMatcher(None, a, b).ratio() >= 0.4 for a, b in pairs], dtype=bool)
+
+    found = rest.join(two.select("file", "page", "seen"), ["file", "page"]).where(alike("text", "seen")).select(key)
+    return one.unionByName(two), rest.join(found, key, "left_anti")
+
+
 def box_iou(a: tuple, b: tuple) -> float:
     w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
     h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])

@@ -505,7 +505,14 @@ select cast(item_id as varchar) as file, cast(n as integer) as pii_idx, text, ca
 )
 def match_exact_substring(spark, sf_dir):
     pii, ocr = _readings(spark, sf_dir)
-    return vision.first_match(pii, ocr).select("file", "pii_idx", "text", "ocr_idx", "seen")
+    return vision.first_holding(pii, ocr).select("file", "pii_idx", "text", "ocr_idx", "seen")
+
+
+@query()
+def match_remaining(spark, sf_dir):
+    # Printed readings lack every second word, handwritten ones lack a letter.
+    pii, ocr = _readings(spark, sf_dir)
+    return vision.match_remaining(pii, ocr.where("ocr_idx % 2 = 0"), ocr.withColumn("text", F.expr("substring(text, 2)")).withColumn("confidence", F.lit(0.5)))[0]
 
 
 @query()

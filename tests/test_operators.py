@@ -146,6 +146,26 @@ def test_matching(spark):
     assert got == {0: (0, 1, 1.0), 1: (None, None, None)}
 
 
+def test_matching_what_remains(spark):
+    what = "file string, page int, pii_idx int, text string, type string"
+    seen = "file string, page int, ocr_idx int, text string, x int, y int, width int, height int, confidence double"
+    rows = [("f", 0, k, t, "name") for k, t in enumerate(["Daniel Martinez", "Johnson", "Smith Ltd", "Qwerty", "zzzz", "Smith Inc"])]
+    pii = spark.createDataFrame([*rows, ("g", 0, 0, "Johnson", "name")], what)
+    texts = ["a", "Jonson", "daniel martinex", "", None, "Daniel Martinez"]
+    ocr = spark.createDataFrame([("f", 0, k, t, k, 0, 9, 9, 0.9) for k, t in enumerate(texts)], seen)
+    first = {(r.file, r.pii_idx): (r.ocr_idx, r.x) for r in vision.first_match(pii, ocr).collect()}
+    assert first == {("f", 0): (2, 2), ("f", 1): (1, 1)}
+    # The second is too unsure, the third too short; at 0.5 one reading serves once.
+    read = [("Smith Ld", 0.9), ("Qwerty", 0.2), ("z", 0.9), ("Qwxxty", 0.4)]
+    hand = spark.createDataFrame([("f", 0, k, t, 50 + k, 0, 9, 9, c) for k, (t, c) in enumerate(read)], seen)
+    matched, missed = vision.match_remaining(pii, ocr, hand)
+    assert {(r.file, r.pii_idx): (r.x, r.seen) for r in matched.collect()} == {("f", 0): (2, "daniel martinex"), ("f", 1): (1, "Jonson"), ("f", 2): (50, "Smith Ld"), ("f", 3): (53, "Qwxxty")}
+    # "Smith Inc" resembles a text matched there, so only the others are reported.
+    assert {(r.file, r.text) for r in missed.collect()} == {("f", "zzzz"), ("g", "Johnson")}
+    sizes = spark.createDataFrame([(32, 16), (31, 16), (10, 10), (800, 200), (801, 200), (9, 40)], "width int, height int")
+    assert vision.worth_reading(sizes).count() == 3 and vision.worth_reading(sizes, 10, 10).count() == 5 and vision.readable_whole(sizes).count() == 5
+
+
 def test_suppression():
     rows = pd.DataFrame([("abc", 0, 0, 10, 10, 0.5), ("abc", 1, 0, 10, 10, 0.9), ("abc", 9, 9, 10, 10, 0.4), ("zzz", 9, 9, 10, 10, 0.3), ("abc", 50, 50, 5, 5, 0.2)], columns=vision.OCR)
     assert list(vision.suppress(rows)["confidence"]) == [0.9, 0.3, 0.2]
