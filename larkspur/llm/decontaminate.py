@@ -95,8 +95,9 @@ def phrase_matches(w: Windows, term: np.ndarray, doc: np.ndarray) -> tuple[np.nd
 
 
 def near_matches(w: Windows, term: np.ndarray, doc: np.ndarray, slack: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) where at least `share` of a window's terms stand in order,
-    each within `slack` words of its offset from the window's rarest term."""
+    """(window, place of the term it was found by) where at least `share` of a
+    window's terms stand in order, each within `slack` words of its offset from
+    the window's rarest term. A window may begin before its document does."""
     lists, begin = postings(term, len(w.vocab))
     count = np.diff(begin)
     by = np.where((w.terms >= 0) & (count[w.terms] > 0), count[w.terms], np.iinfo(np.int64).max)
@@ -124,7 +125,7 @@ def near_matches(w: Windows, term: np.ndarray, doc: np.ndarray, slack: int, shar
                 hit |= ok & (term[q] == want) & (doc[q] == doc[anchor])
             seen += hit
         ok = seen >= np.ceil(share * w.length[live[owner]])
-        found.append((live[owner[ok]], np.maximum(anchor[ok] - p0[owner[ok]], 0)))
+        found.append((live[owner[ok]], anchor[ok]))
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
@@ -152,8 +153,8 @@ def _search(w: Windows, slack: int | None, share: float):
                 named = _by_doc(w, win, doc[start], hi - lo)
                 near: list[list[str]] = [[] for _ in range(hi - lo)]
                 if slack is not None:
-                    nw, ns = near_matches(w, term, doc, slack, share)
-                    near = _by_doc(w, nw, doc[ns], hi - lo)
+                    nw, place = near_matches(w, term, doc, slack, share)
+                    near = _by_doc(w, nw, doc[place], hi - lo)
                 base = first[doc[runs]]
                 spans = pa.StructArray.from_arrays([pa.array((runs - base).astype(np.int32)), pa.array((stops - base).astype(np.int32))], ["start", "stop"])
                 yield pa.RecordBatch.from_arrays(
@@ -282,7 +283,16 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_decontaminate": op8_decontaminate}
+def op8_near_matches(spark, sf_dir: str) -> DataFrame:
+    """`documents` against every item of `benchmark`, proximity matches included."""
+    m = benchmark_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return m.select(
+        "doc_id", "n_words", F.size("items").cast("long").alias("n_items"), F.size("near_items").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join(F.array_sort("near_items"), ","), 256).alias("near_items_sha256"), (F.size("near_items") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {"op8_decontaminate": op8_decontaminate, "op8_near_matches": op8_near_matches}
 _W = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL: dict[str, str] = {
     "op8_decontaminate": f"""

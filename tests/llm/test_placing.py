@@ -174,6 +174,20 @@ def test_proximity(spark, docs):
     assert got == {1: (1, 1), 2: (0, 1), 3: (0, 1), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
 
 
+def test_proximity_belongs_to_its_document(spark, docs, tmp_path):
+    w = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    # A clean text, then one that starts at the item's second or third word.
+    texts = [(1, "u v"), (2, " ".join(w[1:]) + " x"), (3, "u v"), (4, " ".join(w[2:])), (5, "u v"), (6, " ".join(w[:8])), (7, "u v"), (8, " ".join(w))]
+    df = docs(texts).coalesce(1)
+    got = {r.doc_id: (len(r["items"]), list(r.near_items)) for r in decontaminate.benchmark_matches(df, bench).collect()}
+    assert got == {i: (int(i == 8), ["1"] * (i % 2 == 0)) for i, _ in texts}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = decontaminate.QUERIES["op8_near_matches"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_items, r.n_near_items, r.contaminated) for r in rows} == {i: (int(i == 8), int(i % 2 == 0), i % 2 == 0) for i, _ in texts}
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bench = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
