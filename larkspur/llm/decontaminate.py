@@ -30,12 +30,12 @@ class Windows:
     terms: np.ndarray  # (window, place) -> term number
     length: np.ndarray
     item: np.ndarray  # index into `items`
-    items: list
+    items: list  # distinct ids
 
 
 def compile_windows(items: list[tuple[object, str | None]], size: int) -> Windows:
     """Every `size` consecutive words of an item; a shorter item is one window."""
-    items = [(k, t) for k, t in items if k is not None and t is not None]
+    items = [(k, t) for k, t in items if t is not None]
     col = pa.array([t for _, t in items], pa.large_string())
     rows, owner, hashes = [], [], []
     for lo, _, buf, offs in tk.chunks(col):
@@ -52,7 +52,9 @@ def compile_windows(items: list[tuple[object, str | None]], size: int) -> Window
     terms = np.full((len(rows), size), -1, np.int32)
     for i, r in enumerate(rows):
         terms[i, : len(r)] = np.searchsorted(vocab, r)
-    return Windows(vocab, terms, (terms >= 0).sum(1), np.array(owner, np.int64), [k for k, _ in items])
+    ids: dict[object, int] = {}
+    number = np.array([ids.setdefault(k, len(ids)) for k, _ in items], np.int64)
+    return Windows(vocab, terms, (terms >= 0).sum(1), number[np.array(owner, np.int64)], list(ids))
 
 
 def postings(term: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +177,8 @@ def _by_doc(w: Windows, win: np.ndarray, doc: np.ndarray, n: int) -> list[list[s
     out: list[list[str]] = [[] for _ in range(n)]
     if len(win):
         for d, i in np.unique(np.stack([doc, w.item[win]], 1), axis=0):
-            out[d].append(str(w.items[i]))
+            if w.items[i] is not None:
+                out[d].append(str(w.items[i]))
     return out
 
 
@@ -201,8 +204,9 @@ def benchmark_matches(
     ones included; `slack=None` leaves this search out).
 
     Words are runs of letters, digits and non-ASCII, A-Z lower-cased. A null or
-    wordless text has no words and no hits; a null or wordless item has no
-    window; ids may repeat or be null, each row is judged alone. An empty
+    wordless text has no words and no hits; an item of null or wordless
+    text has no window; ids may repeat or be null, each row is judged alone. An
+    item id of several rows is listed once, a null one not at all; its text counts. An empty
     documents table gives no rows, an empty benchmark no hits. Other columns
     are not read. More items than one block holds are searched block by block
     and the spans united, with the same result.
@@ -274,8 +278,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
-    """`documents` against every item of `benchmark`."""
-    m = benchmark_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slack=None)
+    """`documents` against every item of `benchmark` that has an id."""
+    named = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id is not null")
+    m = benchmark_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), named, slack=None)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"]))
     return m.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -288,7 +293,7 @@ def op8_near_matches(spark, sf_dir: str) -> DataFrame:
     m = benchmark_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return m.select(
         "doc_id", "n_words", F.size("items").cast("long").alias("n_items"), F.size("near_items").cast("long").alias("n_near_items"),
-        F.sha2(F.array_join(F.array_sort("near_items"), ","), 256).alias("near_items_sha256"), (F.size("near_items") > 0).alias("contaminated"),
+        F.sha2(F.array_join(F.array_sort("near_items"), ","), 256).alias("near_items_sha256"), ((F.size("hits") > 0) | (F.size("near_items") > 0)).alias("contaminated"),
     )
 
 

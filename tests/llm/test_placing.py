@@ -159,6 +159,16 @@ def test_phrases(spark, docs, prose, odd, block):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, t in rows if not brute_hits(t, ITEMS)[1])
 
 
+@pytest.mark.parametrize("block", [4 << 20, 1])
+def test_items_without_an_id_or_with_one_twice(spark, docs, block):
+    bench = spark.createDataFrame([(None, "red green"), (7, "one two three"), (7, "four five six"), (8, "six seven")], "item_id long, text string")
+    rows = [(1, "a one two three four five six seven"), (2, "red, green"), (3, "red one two"), (2, "green red")]
+    got = decontaminate.benchmark_matches(docs(rows), bench, slack=None, block_bytes=block).collect()
+    assert sorted((r.doc_id, sum(x.stop - x.start for x in r.hits), sorted(r["items"])) for r in got) == [(1, 7, ["7", "8"]), (2, 0, []), (2, 2, []), (3, 0, [])]
+    kept = decontaminate.without_contaminated(docs(rows), bench, block_bytes=block).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(2, "green red"), (3, "red one two")]
+
+
 def test_phrases_of_nothing(spark, docs, prose, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert all(not r.hits and not r["items"] for r in decontaminate.benchmark_matches(docs(odd), bench).collect())
