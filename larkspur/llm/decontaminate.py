@@ -1,8 +1,8 @@
-"""Benchmark decontamination over a document-partitioned positional index.
+"""Benchmark decontamination by scanning bounded runs of whole documents.
 
-Each task indexes a bounded run of whole documents: token positions are
-grouped by benchmark term (the posting lists), so a phrase, which never leaves
-its document, is intersected where its postings lie and nothing is shuffled.
+In each run token positions are grouped by benchmark term; a phrase, which never
+leaves its document, is looked for at its rarest term's positions and checked
+in the text around them. Nothing is stored or shuffled.
 The benchmark is the stated query set. It is broadcast in blocks of bounded
 size, one pass over the documents a block, however many items there are.
 """
@@ -86,7 +86,7 @@ def phrase_matches(w: Windows, term: np.ndarray, doc: np.ndarray) -> tuple[np.nd
     ok = (start >= 0) & (last < len(term))
     ok[ok] = doc[start[ok]] == doc[last[ok]]
     owner, start = owner[ok], start[ok]
-    for k in range(1, w.terms.shape[1]):  # intersect with the next list, shifted by its offset
+    for k in range(1, w.terms.shape[1]):  # check the text at the next rarest term's offset
         if not len(owner):
             break
         place = rarest[owner, k]
