@@ -234,8 +234,9 @@ def _pattern() -> re.Pattern:
         parts.append(f"(?P<{kind}>{p})")
         shift += n + 1
     # The first characters keep the search from trying at every letter; an @
-    # later in the same word is what an address needs.
-    return re.compile(r"(?<![A-Za-z0-9_])(?=[0-9+(]|[A-Za-z]{2}\d|(?:" + "|".join(m[:3] for m in MONTHS) + r")|[\w.%+-]+@)(?<![0-9][.,-])(?:" + "|".join(parts) + r")(?![A-Za-z0-9_]|[.-]\d)")
+    # later in the same word is what an address needs. A clock time may follow
+    # an iso_date.
+    return re.compile(r"(?<![A-Za-z0-9_])(?=[0-9+(]|[A-Za-z]{2}\d|(?:" + "|".join(m[:3] for m in MONTHS) + r")|[\w.%+-]+@)(?<![0-9][.,-])(?:" + "|".join(parts) + r")(?:(?![A-Za-z0-9_]|[.-]\d)|(?<=\d{4}[-/]\d{2}[-/]\d{2})(?=T\d{2}:?\d{2}))")
 
 
 PATTERN = _pattern()

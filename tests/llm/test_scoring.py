@@ -213,6 +213,17 @@ def test_pii_links_and_formats(spark, docs):
     assert pii.pseudonymise(docs(rows), "other").first().text.split(" ")[0] != c
 
 
+def test_dates_before_a_time():
+    there, back = pii.Pseudonyms("k"), pii.Pseudonyms("k", back=True)
+    for t in ("at 2140-09-25T07:15:00 on", "2140-09-25T0715Z", "2140/09/25T07:15"):
+        out, spans = there.text(t)
+        at = t.index("2140")
+        assert spans == [("iso_date", at, at + 10)] and out != t and out[at + 10 :] == t[at + 10 :]
+        assert back.text(out)[0] == t
+    for t in ("2140-09-25Txt", "12140-09-25T07:15", "2140-13-25T07:15"):
+        assert there.text(t) == (t, [])
+
+
 def test_pii_query_leaves_none(spark, sf_dir):
     got = QUERIES["op2_pii"](spark, sf_dir).collect()
     old = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
