@@ -226,3 +226,28 @@ def test_pipeline(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter(r.doc_id for r in rows) == ids[5]
     assert sorted((r.shard, r.slot) for r in rows) == sorted((r.shard, r.slot) for r in states[5].collect())
+
+
+def brute_near(t, items, slack=2, share=0.8):
+    w, found = words(t), set()
+    for k, item in items:
+        q = words(item)
+        for win in [q[i : i + 10] for i in range(max(1, len(q) - 9))] if q else []:
+            for p in range(-len(win), len(w)):
+                n = sum(x in w[max(p + i - slack, 0) : max(p + i + slack + 1, 0)] for i, x in enumerate(win))
+                if n >= share * len(win) - 1e-9:
+                    found.add(str(k))
+    return found
+
+
+@pytest.mark.parametrize("block", [2 << 20, 300, 1])
+def test_near_matches_equal_brute_force(spark, docs, block):
+    rng = random.Random(5)
+    few = [f"w{k}" for k in range(14)]
+    items = [(k, " ".join(rng.choices(few, k=rng.choice([1, 2, 3, 5, 9, 10, 13, 90])))) for k in range(12)]
+    rows = [(k, " ".join(rng.choices(few + [f"x{k}" for k in range(8)], k=rng.choice([0, 1, 4, 9, 12, 30])))) for k in range(60)]
+    rows += [(100 + k, " ".join(w for w in t.split() if rng.random() < 0.9)) for k, (_, t) in enumerate(items)]
+    got = decontaminate.benchmark_matches(docs(rows), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+    want = {i: brute_near(t, items) for i, t in rows}
+    assert {r.doc_id: set(r.near_items) for r in got} == want and 10 < sum(map(bool, want.values())) < len(rows)
+    assert all(set(r["items"]) <= set(r.near_items) for r in got)
