@@ -4,12 +4,12 @@ A source's documents, in a seeded order, are one stream of words, cut into
 blocks of equal length. The mix is a number of blocks; each goes to the source
 with the highest quotient target / (2 * seats + 1). The rule is house-monotone,
 so the same sequence of seats, cut into equal parts, gives integer quotas for
-every output shard. A source's quota is filled from its blocks in a seeded
-permutation, round after round: all blocks the same number of times, and some
-once more. Which ones is arithmetic on the block's number, so blocks are never
-rows; only a document's id, source and size are shuffled, by source and a
-slice of the seeded order, of which even a source of a third of all rows has
-4096.
+every output shard. A source's seats are filled from its blocks in a seeded
+permutation, round after round, shard by shard: all blocks the same number of
+times, and some once more. Which ones, and for which shard, is arithmetic on the
+block's number, so blocks are never rows; only a document's id, source and size
+are shuffled, by source and a slice of the seeded order, of which a large source
+has as many as keep one small.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +32,8 @@ WEIGHTS = (5, 2, 1)
 #: The most often that a word may be taken.
 MOST = 3
 BLOCK = 64
-_PRIMES = (2147483647, 2147483629)
+#: Output shards of a mix; words of a slice, about, and 4096 slices at least.
+SHARDS, SLICE = 40, 1 << 24
 
 
 def targets(sizes: list[int], weights: list[int], total: int | None = None, most: int = MOST) -> list[float]:
@@ -110,17 +112,31 @@ class Plan:
     blocks: list[int]
     block: int
     seed: int
+    shards: list[list[int]]  # blocks of each source, by shard
 
     def table(self, spark) -> DataFrame:
         rows = []
         for i, (s, size, t, q, n) in enumerate(zip(self.sources, self.sizes, self.targets, self.quotas, self.blocks)):
             q, m = min(q, MOST * n), max(n, 1)
-            p = next(p for p in _PRIMES if m % p or m == 1)
-            rows.append((s, i, size, t, q, m, p % m, (self.seed * 7919 + i * 104729) % m, q // m, q % m))
-        return spark.createDataFrame(rows, "source string, s int, source_size long, target double, quota long, m long, a long, b long, base long, extra long")
+            ends = list(accumulate(x[i] for x in self.shards))
+            rows.append((s, i, size, t, q, m, multiplier(m, self.seed, i), (self.seed * 7919 + i * 104729) % m, q // m, q % m, ends))
+        return spark.createDataFrame(rows, "source string, s int, source_size long, target double, quota long, m long, a long, b long, base long, extra long, ends array<long>")
 
+    def slice_digits(self) -> int:
+        """Hexadecimal digits that keep slices of the largest source near SLICE words."""
+        return max(3, math.ceil(math.log(max([*self.sizes, 1]) / SLICE, 16)))
 
-def plan(docs: DataFrame, source_col: str, size: Column, weights=WEIGHTS, block: int = BLOCK, seed: int = 1, max_sources: int = 1_000_000) -> Plan:
+
+def multiplier(m: int, seed: int, i: int) -> int:
+    """The factor of a source's permutation of `m` blocks: seeded, prime to `m`,
+    and far from 0 and m, so that neighbours part."""
+    x = max(1, m * 382 // 1000 + (seed * 31 + i * 17) % max(m // 8, 1))
+    while math.gcd(x, m) != 1:
+        x += 1
+    return x % m
+
+
+def plan(docs: DataFrame, source_col: str, size: Column, weights=WEIGHTS, block: int = BLOCK, seed: int = 1, max_sources: int = 1_000_000, n_shards: int = 1) -> Plan:
     """Targets and quotas of all sources. The list of sources, with its weights,
     is a setting of the mix rather than data: more than `max_sources` raise."""
     got = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(size).alias("size")).limit(max_sources + 1).collect()
@@ -130,7 +146,7 @@ def plan(docs: DataFrame, source_col: str, size: Column, weights=WEIGHTS, block:
     sizes = [r.size or 0 for r in got]
     t = targets(sizes, [weights[i % len(weights)] for i in range(len(got))])
     seats = (sum(sizes) + block // 2) // block
-    return Plan([r.source for r in got], sizes, t, quotas(t, seats), [-(-n // block) for n in sizes], block, seed)
+    return Plan([r.source for r in got], sizes, t, quotas(t, seats), [-(-n // block) for n in sizes], block, seed, shard_quotas(t, seats, n_shards))
 
 
 def size_of(text_col: str) -> Column:
@@ -144,7 +160,7 @@ def _placed(rows: DataFrame, p: Plan) -> DataFrame:
     known = F.broadcast(p.table(rows.sparkSession)).withColumnRenamed("source", "_source")  # at most max_sources rows
     rows = rows.join(known, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
     order = F.md5(F.concat(F.lit(f"{p.seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("ord", order).withColumn("slice", F.substring("ord", 1, 3))
+    rows = rows.withColumn("ord", order).withColumn("slice", F.substring("ord", 1, p.slice_digits()))
     before = F.sum("n").over(Window.partitionBy("s").orderBy("slice")) - F.col("n")
     slices = rows.groupBy("s", "slice").agg(F.sum("size").alias("n")).select("s", "slice", before.alias("before"))
     own = Window.partitionBy("s", "slice").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -154,16 +170,17 @@ def _placed(rows: DataFrame, p: Plan) -> DataFrame:
 
 def _perm(j: str) -> str:
     # 128 bits, as a source may have more than 2**31 blocks.
-    return f"(cast(a as decimal(19,0)) * cast({j} as decimal(19,0)) + b) % cast(m as decimal(19,0)) < extra"
+    return f"(cast(a as decimal(19,0)) * cast({j} as decimal(19,0)) + b) % cast(m as decimal(19,0))"
 
 
 def _blocks(block: int) -> str:
     return f"sequence(lo div {block}, (lo + size - 1) div {block})"
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, block: int = BLOCK, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, block: int = BLOCK, seed: int = 1, n_shards: int = SHARDS) -> DataFrame:
     """Per row: doc_id, size (words), source_size, target (the source's), taken
-    (words the mix takes, repeats counted), quota (the source's blocks).
+    (words the mix takes, repeats counted), quota (the source's blocks),
+    first_shard (the first of the mix's shards that takes words of it, or null).
 
     Sources by code point, null last and a source of its own, weigh `weights`,
     repeating. A null or empty text has size 0 and is never taken; a source of
@@ -172,10 +189,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     columns are not read.
     """
     rows = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size")))
-    p = plan(rows, "source", F.col("size"), weights, block, seed)
+    p = plan(rows, "source", F.col("size"), weights, block, seed, n_shards=n_shards)
     taken = f"""if(size = 0, 0L, aggregate({_blocks(block)}, 0L, (x, j) ->
-        x + (least(lo + size, (j + 1) * {block}) - greatest(lo, j * {block})) * (base + if({_perm("j")}, 1, 0))))"""
-    return _placed(rows, p).select("doc_id", "size", "source_size", "target", F.expr(taken).alias("taken"), "quota")
+        x + (least(lo + size, (j + 1) * {block}) - greatest(lo, j * {block})) * (base + if({_perm("j")} < extra, 1, 0))))"""
+    # A source's seats in turn: the shard's number is that of the shards filled before.
+    seat = f"if(size = 0, null, array_min(filter(transform({_blocks(block)}, j -> {_perm('j')}), x -> base > 0 or x < extra)))"
+    first = "if(seat is null, null, size(filter(ends, e -> e <= seat)))"
+    return _placed(rows, p).withColumn("seat", F.expr(seat)).select("doc_id", "size", "source_size", "target", F.expr(taken).alias("taken"), "quota", F.expr(first).alias("first_shard"))
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights=WEIGHTS, block: int = BLOCK, seed: int = 1) -> DataFrame:
@@ -233,10 +253,14 @@ s as (select *, case i % 3 when 0 then 5 when 1 then 2 else 1 end w from s0),
 o as (select *, sum(3 * ss) over r - 3 * ss cap_before, sum(w) over (order by 3 * ss / w desc, i desc) w_left, (select sum(ss) from s) total from s window r as (order by 3 * ss / w, i)),
 c as (select *, 3 * ss * w_left <= w * (total - cap_before) capped from o),
 t as (select *, case when capped then cast(3 * ss as double) else cast(w * (total - coalesce((select sum(3 * ss) from c where capped), 0)) as double) / (select sum(w) from c where not capped) end target from c),
-q as (select source, count(*) q from (select source, target / (2 * k + 1) v, i, k from t, range(cast((select (sum(ss) + 32) // 64 from s) as bigint)) r(k) where target > 0 order by v desc, i, k limit (select cast((sum(ss) + 32) // 64 as bigint) from s)) group by source),
-p as (select t.source, t.i, ss, target, least(coalesce(q.q, 0), 3 * ((ss + 63) // 64)) q, greatest((ss + 63) // 64, 1) m from t left join q on t.source is not distinct from q.source),
+n as (select cast((sum(ss) + 32) // 64 as bigint) n from s),
+seat as (select i, k, row_number() over (order by v desc, i, k) - 1 nth from (select target / (2 * k + 1) v, i, k from t, range((select n from n)) r(k) where target > 0 order by v desc, i, k limit (select n from n))),
+q as (select i, count(*) q from seat group by i),
+p0 as (select t.source, t.i, ss, target, least(coalesce(q.q, 0), 3 * ((ss + 63) // 64)) q, cast(greatest((ss + 63) // 64, 1) as bigint) m from t left join q using (i)),
+p as (select *, list_filter(range(a0, a0 + 400), lambda z: gcd(z, m) = 1)[1] % m a from (select *, greatest(1, m * 382 // 1000 + (31 + i * 17) % greatest(m // 8, 1)) a0 from p0)),
 x as (select d.doc_id, d.size, p.*, sum(d.size) over (partition by p.i order by d.ord, d.doc_id, d.size rows unbounded preceding) - d.size lo, row_number() over () r from d join p on d.source is not distinct from p.source),
-b as (select r, sum((least(lo + size, (j + 1) * 64) - greatest(lo, j * 64)) * (q // m + case when ((2147483647 % m) * cast(j as hugeint) + (7919 + i * 104729) % m) % m < q % m then 1 else 0 end)) taken
-  from (select *, unnest(range(cast(lo // 64 as bigint), cast((lo + size - 1) // 64 as bigint) + 1)) j from x where size > 0) group by r)
-select doc_id, size, ss source_size, target, cast(coalesce(taken, 0) as bigint) taken, cast(q as bigint) quota from x left join b using (r)"""
+j as (select *, (a * cast(j as hugeint) + (7919 + i * 104729) % m) % m k from (select *, unnest(range(cast(lo // 64 as bigint), cast((lo + size - 1) // 64 as bigint) + 1)) j from x where size > 0)),
+b as (select r, sum((least(lo + size, (j + 1) * 64) - greatest(lo, j * 64)) * (q // m + case when k < q % m then 1 else 0 end)) taken from j group by r),
+f as (select r, min(len(list_filter(range(1, 41), lambda z: n * z // 40 <= nth))) first_shard from j join seat using (i, k), n where q >= m or k < q % m group by r)
+select doc_id, size, ss source_size, target, cast(coalesce(taken, 0) as bigint) taken, cast(q as bigint) quota, cast(first_shard as int) first_shard from x left join b using (r) left join f using (r)"""
 }
