@@ -270,3 +270,33 @@ def test_token_counts_of_odd_rows(docs, odd):
     enc = counts.encoder(f"{counts.TOKENIZERS}/byte_bpe_50k.tiktoken")
     want = Counter((None if t is None else len(WORD.findall(t)), None if t is None else len(enc.encode_ordinary(t))) for _, t in odd)
     assert Counter((r.words, r.bpe) for r in got) == want
+
+
+def test_compacted_batches_stay_applied(spark, tmp_path):
+    table = lambda rows: spark.createDataFrame(rows, "source string, lang string, tokenizer string, tokens long")
+    roll = counts.Rollup(spark, f"file://{tmp_path}/roll")
+    roll.compact()
+    a, b = table([("s", "en", "v1", 5), (None, None, "v1", 3)]), table([("s", "en", "v1", 7)])
+    assert roll.commit("b1", counts.inserted(a)) and roll.commit("b2", counts.inserted(b))
+    want = sorted(map(tuple, roll.totals().collect()), key=str)
+    for _ in range(2):
+        roll.compact()
+        assert roll.batches() == [] and sorted(map(tuple, roll.totals().collect()), key=str) == want
+        assert not roll.commit("b1", counts.inserted(a))
+    assert roll.commit("b3", counts.deleted(b))
+    # Deleting the replaced folders was cut short: they count once.
+    kept = tmp_path / "kept"
+    import shutil
+
+    shutil.copytree(tmp_path / "roll" / "b3", kept)
+    roll.compact()
+    shutil.copytree(kept, tmp_path / "roll" / "b3")
+    assert {(r.source, r.docs, r.tokens) for r in roll.totals().collect()} == {("s", 1, 5), (None, 1, 3)}
+    assert not roll.commit("b3", counts.deleted(b)) and roll.batches() == []
+
+
+def test_a_null_id_is_not_held_out(spark, docs, prose):
+    rows, labels = toxic_rows(prose, 40, 3)
+    df, lab = docs(rows + [(None, "a b")]), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    s = toxicity.toxicity_scores(df, lab, epochs=2).select("doc_id", (~labelled.in_fit_fold("doc_id")).alias("held_out")).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1 if r.doc_id is not None else False) for r in s)
