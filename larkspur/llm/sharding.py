@@ -2,15 +2,16 @@
 
 Records are ordered by a hash of their text, then by id, so that equal texts
 lie together. A size-weighted sample of keys gives quantile boundaries; every
-range between two of them is measured exactly, ranges that turn out overfull
-are subdivided by new splitters inside them, down to single keys, which are
-subdivided by id. Ranges are small parts of a shard, so no task holds more than
-that of the order, and shards are cut from the running total of sizes.
+range between two of them is measured exactly, and ranges that turn out
+overfull are subdivided by new splitters inside them, and again until none is,
+down to single records of a large group of equal texts. Ranges are small parts
+of a shard, so no task holds more than that of the order. Large groups go whole
+into a shard with room; shards are cut from the running total of the others.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,9 @@ from .durable import durable
 
 #: Ranges a shard, and how many samples a range.
 RANGES, SAMPLES = 16, 8
-#: A group of equal texts is kept whole up to this share of a shard.
+#: Groups of equal texts over this share of a shard are placed one by one.
 WHOLE = 0.05
+LEAST = -(2**63)
 
 
 def _u01(*cols) -> Column:
@@ -49,12 +51,11 @@ def _range_of(splitters: list[tuple[int, int]]):
     return place
 
 
-def _sample(rows: DataFrame, count: int, seed: int) -> list[tuple[int, int]]:
-    """`count` (key, tie) drawn without replacement, weighted by size: the least
-    of -log(u) / size, so each task keeps only its `count` first."""
+def _sample(rows: DataFrame, count: int, seed: int, total: int) -> list[tuple[int, int]]:
+    """About `count` distinct (key, tie), weighted by size: all whose race value
+    -log(u) / size lies under count / total. So tasks send `count` in all."""
     race = -F.log(_u01(F.lit(seed), "tie", "key")) / F.col("size")
-    got = rows.select("key", "tie", race.alias("r")).orderBy("r", "key", "tie").limit(count).collect()
-    return sorted((r.key, r.tie) for r in got)
+    return sorted((r.key, r.tie) for r in rows.where(race * total < count).select("key", "tie").distinct().collect())
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, overhead: int) -> dict[str, Column]:
@@ -63,34 +64,50 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, overhead: int) -> dict[s
     # The crc orders; the other hash's bits part texts that share it.
     key = F.when(t.isNotNull(), F.shiftleft(crc, 31).bitwiseOR(F.xxhash64(t).bitwiseAND(F.lit(2**31 - 1)))).otherwise(F.lit(-1).cast("long"))
     size = F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + overhead
-    return {"size": size, "text_crc32": crc, "key": key, "tie": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))}
+    return {"size": size, "text_crc32": crc, "key": key, "tie": F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))}
 
 
 class Layout:
-    """Where records lie: splitters, and what comes before each range."""
+    """Where records lie: splitters, what comes before each range, and homes.
+
+    Groups of equal texts of over WHOLE of a shard, of which there are few, are
+    placed first, the largest into the emptiest shard; one that fits into none
+    is divided. All else fills what is left of the shards in the order of keys.
+    """
 
     def __init__(self, rows: DataFrame, n_shards: int, seed: int) -> None:
         """`rows`: size, key and tie of all records, read several times."""
         self.spark, self.n_shards = rows.sparkSession, n_shards
         self.total = rows.agg(F.sum("size")).first()[0] or 0
+        mean = self.total / n_shards
+        groups = rows.where("key >= 0").groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > WHOLE * mean)
+        big = {r.key: r.size for r in groups.collect()}  # at most n_shards / WHOLE rows
+        self._homes, loads = _packed(big, n_shards, mean)
+        self._ends = np.cumsum(mean - loads)
+        rows = self._homed(rows)
         n_ranges = n_shards * RANGES
-        drawn = _sample(rows, n_ranges * SAMPLES, seed)
-        self.splitters = sorted({(k, -(2**63)) for k, _ in drawn[SAMPLES::SAMPLES]})
-        limit = 4 * self.total / n_ranges
-        for again in range(4):
+        drawn = _sample(rows, n_ranges * SAMPLES, seed, self.total)
+        self.splitters = sorted({(k, LEAST) for k, _ in drawn[SAMPLES::SAMPLES]})
+        limit, again = 4 * self.total / n_ranges, 0
+        while True:
             placed = rows.withColumn("range", _range_of(self.splitters)("key", "tie"))
-            sizes = placed.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # at most one row a range
-            full = [r.range for r in sizes if r.size > limit and r.n > 1]
-            if not full or again == 3:
+            place = F.struct("key", "tie")
+            sizes = placed.groupBy("range").agg(F.sum("size").alias("size"), F.sum("rest").alias("rest"), F.min(place).alias("lo"), F.max(place).alias("hi")).collect()  # at most one row a range
+            full = [r for r in sizes if r.size > limit and r.lo != r.hi]
+            if not full:
                 break
-            inside = _sample(placed.where(F.col("range").isin(full)), SAMPLES * n_ranges, seed + 1 + again)
-            # By key where a range has several, by id where one key fills it.
-            hot = {k for k, c in Counter(k for k, _ in inside).items() if c > 2 * SAMPLES}
-            self.splitters = sorted(set(self.splitters) | {(k, i if k in hot else -(2**63)) for k, i in inside[:: SAMPLES // 2]})
+            again += 1
+            inside = _sample(placed.where(F.col("range").isin([r.range for r in full])), SAMPLES * n_ranges, seed + again, sum(r.size for r in full))
+            # By key where a range has several, by id inside a group that is no small one; the last of each full range, so that it gets smaller for sure.
+            cut = {(k, i if k in big or k < 0 else LEAST) for k, i in inside[:: SAMPLES // 2]}
+            cut |= {(r.hi.key, r.hi.tie if r.lo.key == r.hi.key else LEAST) for r in full if r.lo.key != r.hi.key or r.hi.key in big or r.hi.key < 0}
+            if cut <= set(self.splitters):
+                break
+            self.splitters = sorted(set(self.splitters) | cut)
         self._before, n = [], 0
         for r in sorted(sizes, key=lambda r: r.range):
             self._before.append((r.range, n))
-            n += r.size
+            n += r.rest
         parts = self._sharded(rows).groupBy("shard", "range").count().collect()
         self._first, last, n = [], None, 0
         for s, r, c in sorted(tuple(p) for p in parts):
@@ -98,34 +115,60 @@ class Layout:
             self._first.append((s, r, n))
             last, n = s, n + c
 
+    def _homed(self, rows: DataFrame) -> DataFrame:
+        """`rows` with `home` (a large group's shard, -1 for a divided one, null
+        for a small group) and `rest`, their size in the stream of the others."""
+        homes = self.spark.createDataFrame(list(self._homes.items()), "key long, home int")  # at most n_shards / WHOLE rows
+        rows = rows.join(F.broadcast(homes), "key", "left").withColumn("home", F.when(F.col("key") < 0, F.lit(-1)).otherwise(F.col("home")))
+        return rows.withColumn("rest", F.when(F.col("home") >= 0, F.lit(0).cast("long")).otherwise(F.col("size")))
+
     def _sharded(self, rows: DataFrame) -> DataFrame:
         start = self.spark.createDataFrame(self._before, "range int, before long")  # one row a range
         rows = rows.withColumn("range", _range_of(self.splitters)("key", "tie")).join(F.broadcast(start), "range")
         w = Window.partitionBy("range").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.withColumn("at", F.col("before") + F.sum("size").over(w) - F.col("size"))
-        # A group that a splitter parts is a divided one.
+        rows = rows.withColumn("at", F.col("before") + F.sum("rest").over(w) - F.col("rest"))
         g = Window.partitionBy("range", "key")
-        whole = (F.col("key") >= 0) & (F.sum("size").over(g) * self.n_shards <= WHOLE * self.total)
-        middle = F.when(whole, F.min("at").over(g) + F.sum("size").over(g) / 2).otherwise(F.col("at") + F.col("size") / 2)
-        return rows.withColumn("shard", F.least(F.lit(self.n_shards - 1), F.floor(middle * self.n_shards / self.total)).cast("int"))
+        middle = F.when(F.col("home").isNull(), F.min("at").over(g) + F.sum("rest").over(g) / 2).otherwise(F.col("at") + F.col("rest") / 2)
+        ends, last = self._ends, self.n_shards - 1
+
+        @F.pandas_udf("int")
+        def stream(m: pd.Series) -> pd.Series:
+            return pd.Series(np.minimum(np.searchsorted(ends, m.to_numpy(float), "right"), last).astype(np.int32))
+
+        return rows.withColumn("middle", middle).withColumn("shard", F.when(F.col("home") >= 0, F.col("home")).otherwise(stream("middle"))).drop("middle")
 
     def place(self, rows: DataFrame) -> DataFrame:
         """`rows` (size, key and tie among their columns) with shard and slot."""
         if not self._first:
             return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-        first = self.spark.createDataFrame(self._first, "shard int, range int, first long")  # under two rows a range
+        first = self.spark.createDataFrame(self._first, "shard int, range int, first long")  # a few rows a range
         nth = F.row_number().over(Window.partitionBy("range", "shard").orderBy("key", "tie"))
-        rows = self._sharded(rows).withColumn("nth", nth).join(F.broadcast(first), ["shard", "range"])
+        rows = self._sharded(self._homed(rows)).withColumn("nth", nth).join(F.broadcast(first), ["shard", "range"])
         return rows.withColumn("slot", F.col("first") + F.col("nth") - 1)
 
 
+def _packed(groups: dict[int, int], n_shards: int, mean: float) -> tuple[dict[int, int], np.ndarray]:
+    """A shard for every group that fits, -1 for others; the shards' loads."""
+    loads, homes = [(0, s) for s in range(n_shards)], {}
+    for k, size in sorted(groups.items(), key=lambda x: (-x[1], x[0])):
+        load, s = loads[0]
+        homes[k] = s if load + size <= mean else -1
+        if homes[k] >= 0:
+            heapq.heapreplace(loads, (load + size, s))
+    out = np.zeros(n_shards)
+    for load, s in loads:
+        out[s] = load
+    return homes, out
+
+
 def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, seed: int = 1) -> DataFrame:
     """Per row: doc_id, size (UTF-8 bytes and `overhead`), text_crc32, shard
     (0 to n_shards - 1), slot (gapless from 0 within the shard).
 
-    Shards get nearly equal total sizes: each cut of the running total falls
-    between two records, or between two groups of equal texts where the group
-    is at most a twentieth of a shard; larger groups are divided by id. A null
+    Shards get nearly equal total sizes, and a group of equal texts stays in one
+    shard wherever it fits: over a twentieth of a shard it is placed by itself,
+    smaller ones are cut between; only a group for which no shard has room is
+    divided, by id. A null
     text has size `overhead` and a null text_crc32 and is ordered by id alone,
     like a text of its own; null ids come first. Rows that share id and text
     are told apart by chance, with the same totals. Fewer rows than shards

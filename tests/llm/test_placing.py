@@ -251,3 +251,77 @@ def test_near_matches_equal_brute_force(spark, docs, block):
     want = {i: brute_near(t, items) for i, t in rows}
     assert {r.doc_id: set(r.near_items) for r in got} == want and 10 < sum(map(bool, want.values())) < len(rows)
     assert all(set(r["items"]) <= set(r.near_items) for r in got)
+
+
+def test_groups_stay_whole_where_they_fit(docs, prose):
+    rows = [(k, prose(5 + k % 60)) for k in range(1500)]
+    mean = sum(len(t.encode()) + 16 for _, t in rows) / 4
+    # Groups of 0.6, 0.3, 0.2 and 2.5 of about a shard of 8.
+    for n, share in enumerate((0.6, 0.6, 0.3, 0.2, 0.2, 2.5)):
+        t = prose(30)
+        rows += [(100000 * (n + 1) + k, t) for k in range(int(share * mean / (len(t) + 16)))]
+    got = sharding.shard(docs(rows), n_shards=8).collect()
+    sizes = [len(t.encode()) + 16 for _, t in rows]
+    check_shards(got, 8, sizes, 0.06 * sum(sizes) / 8)
+    per = defaultdict(set)
+    for r in got:
+        per[r.text_crc32].add(r.shard)
+    assert sorted(len(s) for s in per.values())[-2:][0] == 1 and max(map(len, per.values())) >= 2
+
+
+def test_packed_groups():
+    homes, loads = sharding._packed({1: 60, 2: 60, 3: 60, 4: 40, 5: 30, 6: 500}, 3, 100.0)
+    assert homes == {6: -1, 1: 0, 2: 1, 3: 2, 4: 0, 5: 1} and sorted(loads) == [60, 90, 100]
+
+
+def test_rows_that_cannot_be_told_apart(docs):
+    got = sharding.shard(docs([(None, "same text")] * 500 + [(None, None)] * 500), n_shards=5).collect()
+    check_shards(got, 5, [r["size"] for r in got], 10**6)
+
+
+def test_the_sample_is_no_larger_with_more_tasks(docs, prose):
+    df = docs([(k, prose(3)) for k in range(4000)]).repartition(16)
+    rows = df.select(*[c.alias(k) for k, c in sharding._keyed(df, "doc_id", "text", 16).items()])
+    total = rows.agg({"size": "sum"}).first()[0]
+    drawn = sharding._sample(rows, 200, 3, total)
+    assert 130 < len(drawn) < 270
+
+
+def test_first_shards_follow_the_quotas(docs, prose, odd):
+    rows = mix_rows(prose, odd)
+    got = mixing.mix(docs(rows), n_shards=7).collect()
+    plan = mixing.plan(docs(rows), "source", mixing.size_of("text"), n_shards=7)
+    assert [sum(c) for c in zip(*plan.shards)] == plan.quotas and {sum(r) for r in plan.shards} <= {sum(plan.quotas) // 7, sum(plan.quotas) // 7 + 1}
+    assert all((r.first_shard is None) == (r.taken == 0) and (r.first_shard is None or 0 <= r.first_shard < 7) for r in got)
+    assert {r.first_shard for r in got} >= set(range(5))
+    # By hand: a source's documents in their order, its blocks in theirs.
+    import hashlib
+    import math
+
+    source = {i: s for i, _, s in rows}
+    by = defaultdict(list)
+    for r in got:
+        if r.doc_id is not None:
+            by[source[r.doc_id]].append((hashlib.md5(f"1-{r.doc_id}".encode()).hexdigest(), r.doc_id, r["size"], r.first_shard, r.taken))
+    for s in ("src1", "tiny"):
+        i, at = plan.sources.index(s), 0
+        q, m = min(plan.quotas[i], 3 * plan.blocks[i]), plan.blocks[i]
+        a = mixing.multiplier(m, 1, i)
+        assert math.gcd(a, m) == 1
+        ends = [sum(x[i] for x in plan.shards[: k + 1]) for k in range(7)]
+        for _, _, n, shard, taken in sorted(by[s]):
+            seats = [((a * j + (7919 + i * 104729) % m) % m, min(at + n, (j + 1) * 64) - max(at, j * 64)) for j in range(at // 64, (at + n - 1) // 64 + 1)]
+            assert taken == sum(w * (q // m + (k < q % m)) for k, w in seats)
+            used = [k for k, _ in seats if q >= m or k < q % m]
+            assert shard == (sum(e <= min(used) for e in ends) if used else None)
+            at += n
+
+
+def test_multipliers_are_prime_to_the_blocks():
+    import math
+
+    for m in [1, 2, 3, 6, 30, 210, 3171, 2310, 30030, 9699690, 10**12]:
+        got = [mixing.multiplier(m, 1, i) for i in range(20)]
+        assert all(math.gcd(a, m) == 1 for a in got)
+        if m > 3000:
+            assert len(set(got)) > 5 and min(got) > m // 3 and mixing.multiplier(m, 2, 0) != got[0]
