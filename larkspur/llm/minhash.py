@@ -23,13 +23,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .durable import durable, release, small_batches
+from .sieve import among, unplaced
 
 BANDS, ROWS = 32, 4
 #: Texts of a home, about; members of a band by salt.
@@ -241,15 +241,16 @@ def _compare(least: float) -> Callable:
 def components(edges: DataFrame) -> DataFrame:
     """(v, c): each vertex of `edges` (a, b) with the least one it is connected
     to; by alternating large and small stars until nothing moves. Minima are
-    taken by partial aggregation, so a hub's edges never gather in one task."""
+    taken by partial aggregation and joined back with an exchange on both sides,
+    where adaptive execution splits a hub's edges."""
     e = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(unplaced(least, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(unplaced(low, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = durable(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
@@ -258,24 +259,6 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(e.select(F.col("v"), F.col("v").alias("c")).distinct())
 
 
-def _among(ids: DataFrame, bits: int = 1 << 25):
-    """A filter of ids: false only if an id is none of `ids` (r). Its bitmap has a
-    fixed size; a full one lets more texts through to the join, which decides."""
-    at = ids.select((F.pmod(F.xxhash64("r"), F.lit(bits)) + 1).alias("p"))  # Spark counts bits from 1
-    maps = at.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    held = np.zeros((bits // 32768, 4096), np.uint8)  # bits / 8 bytes, as many at most collected
-    for k, m in maps:
-        held[k - 1] = np.frombuffer(m, np.uint8)
-    sent = ids.sparkSession.sparkContext.broadcast(held.tobytes())
-
-    @F.pandas_udf("boolean")
-    def test(p: pd.Series) -> pd.Series:
-        x = p.fillna(0).to_numpy(np.int64)
-        return pd.Series((np.frombuffer(sent.value, np.uint8)[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
-
-    return lambda col: test(F.pmod(F.xxhash64(col), F.lit(bits)))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, links). members, per row of `docs`: doc_id, class_id (the least
     id of its connected component), copies (rows whose text has the same
@@ -307,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seats = seats.select("key", F.col("g").alias("other"), "several", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     sent = placed.withColumn("salt", F.pmod(F.xxhash64("r"), F.col("salts"))).join(seats, ["key", "salt"]).where("g <> other or several")
     sent = durable(sent.select(F.least("g", "other").alias("g1"), F.greatest("g", "other").alias("g2"), "g", "r").distinct())
-    wanted = base.where(_among(homes)("i"))
+    wanted = base.where(among(homes.select("r"))("i"))
     full = wanted.join(homes.select("r", "keys"), F.col("i") == F.col("r")).select("r", "keys", "t").join(sent, "r").select(*_UNIT)
     found = durable(full.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_compare(least), _LINK))
     links = found.where("similarity is not null")
@@ -328,13 +311,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of `docs`, all columns, that are the least of their class. Rows
+    are judged by id and text: different texts under one id are documents of
+    their own; of rows equal in both one stays, the same on every run. Null ids
+    and wordless texts stay. Only rows that a bitmap of what goes, or of
+    repeated ids, lets through are shuffled."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    i, t = F.col(f"c{docs.columns.index(id_col)}").cast("long"), F.col(f"c{docs.columns.index(text_col)}")
+    ids = plain.select(i.alias("i")).where("i is not null").groupBy("i").agg(F.count("*").alias("n")).where("n > 1").select("i")
+    repeated = among(durable(ids))
+    # Such an id and its text make an id of their own, above all others.
+    own = F.lit(2**62) + F.xxhash64(i, t).bitwiseAND(F.lit(2**62 - 1))
+    rows = plain.withColumn("again", repeated(i)).withColumn("v", F.when(F.col("again"), own).otherwise(i))
+    members, _ = near_duplicates(rows.select("v", t.alias("t")), "v", "t", **settings)
+    gone = durable(members.where("doc_id <> class_id").select(F.col("doc_id").alias("v")).distinct())
+    maybe = among(gone)("v")
+    kept = rows.where(~maybe).unionByName(rows.where(maybe).join(unplaced(gone, "v"), "v", "left_anti").select(rows.columns))
+    row = F.struct(*plain.columns)
+    once = kept.where("again").groupBy("v").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r")).select("r.*")
+    return kept.where("not again").select(plain.columns).unionByName(once).toDF(*docs.columns)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of `docs`, all columns, that are the least of their class; of
-    rows that share an id one stays. Null ids and wordless texts stay."""
-    members, _ = near_duplicates(docs, id_col, text_col, **settings)
-    gone = members.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """without_near_copies(), and of rows that share an id only one: for tables
+    in which an id is a document."""
+    kept = without_near_copies(docs, id_col, text_col, **settings)
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

@@ -45,4 +45,4 @@ def unplaced(df: DataFrame, *keys: str) -> DataFrame:
     """`df` with whole-number `keys` that Spark takes for new ones. An aggregate
     is placed by its keys already; joined as it is, its side gets no exchange,
     and adaptive execution divides a hot key only between two exchanges."""
-    return df.withColumns({k: F.col(k) + F.lit(0).cast(dict(df.dtypes)[k]) for k in keys})
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast(dict(df.dtypes)[k])) for k in keys})
