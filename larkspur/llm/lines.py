@@ -3,9 +3,11 @@
 One pass sets, per task, a bit filter of the line keys seen in one document and
 one of those seen in a second. Filters of different tasks are united segment by
 segment: a bit set by two tasks counts as seen twice. Only lines that the
-second filter suspects are sent on, as 128-bit hashes, to be counted exactly.
+second filter suspects are sent on, as 128-bit hashes, to be counted exactly;
+of the texts only those that may lose a line.
 The filter's size follows the number of documents up to `max_bits`; a fuller
-filter suspects more lines and changes no result.
+filter suspects more lines and changes no result: at worst all long lines are
+sent as hashes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .durable import small_batches
+from .durable import durable, small_batches
+from .sieve import among, unplaced
 
 SEGMENT = 1 << 15  # bits
 
@@ -66,9 +69,17 @@ def _bits(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([h & mask, (h >> np.uint64(32)) & mask]).astype(np.int64)
 
 
+def _set(packed: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(packed, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+
+
+def _have(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
+
+
 def _fill(bits: int, min_chars: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for b in batches:
             named = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for lo, _, buf, offs in tk.chunks(b.column(1)):
@@ -83,19 +94,15 @@ def _fill(bits: int, min_chars: int) -> Callable:
                 same[1:] = h[1:] == h[:-1]
                 repeat = same.copy()
                 repeat[1:] &= doc[1:] != doc[:-1]
-                more = _bits(np.unique(h[repeat]), bits)
-                twice[more.ravel()] = True
+                _set(twice, _bits(np.unique(h[repeat]), bits).ravel())
                 mine = _bits(h[~same], bits)
-                seen = once[mine[0]] & once[mine[1]]
-                twice[mine[:, seen].ravel()] = True
-                once[mine.ravel()] = True
-        o, t = np.packbits(once), np.packbits(twice)
+                _set(twice, mine[:, _have(once, mine[0]) & _have(once, mine[1])].ravel())
+                _set(once, mine.ravel())
         step = SEGMENT // 8
-        segs = range(len(o) // step)
-        live = [s for s in segs if o[s * step : (s + 1) * step].any()]
+        live = [s for s in range(len(once) // step) if once[s * step : (s + 1) * step].any()]
         cut = lambda x, s: zlib.compress(x[s * step : (s + 1) * step].tobytes(), 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(live, pa.int32()), pa.array([cut(o, s) for s in live], pa.binary()), pa.array([cut(t, s) for s in live], pa.binary())], ["seg", "once", "twice"]
+            [pa.array(live, pa.int32()), pa.array([cut(once, s) for s in live], pa.binary()), pa.array([cut(twice, s) for s in live], pa.binary())], ["seg", "once", "twice"]
         )
 
     return run
@@ -138,7 +145,7 @@ def _suspects(filter_, bits: int, min_chars: int) -> Callable:
                 at, h = lines.hashes()
                 ok = named[lo + lines.doc[at]]
                 for x in _bits(h, bits):
-                    ok &= packed[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1 > 0
+                    ok &= _have(packed, x)
                 at, h = at[ok], h[ok]
                 if len(at):
                     g = second_hash(buf, lines, at)
@@ -197,10 +204,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bits *= 2
     filter_ = spark.sparkContext.broadcast(seen_twice(base, bits, min_chars).tobytes())  # at most max_bits / 8 bytes
     # Distinct first, by key and id, so that no key gathers in one task.
-    held = base.mapInArrow(_suspects(filter_, bits, min_chars), "h long, g long, i long").distinct()
+    held = durable(base.mapInArrow(_suspects(filter_, bits, min_chars), "h long, g long, i long").distinct())
     keys = held.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("i").alias("m")).where(F.col("n") >= min_docs).select("h", "g", "m")
-    gone = held.join(keys, ["h", "g"]).where("i < m").groupBy("i").agg(F.collect_set("h").alias("c"))
-    return base.join(gone, "i", "left").select("i", "t", "c").mapInArrow(_drop(min_chars), "doc_id long, n_lines long, n_dropped long, kept_text string")
+    gone = held.join(unplaced(keys, "h", "g"), ["h", "g"]).where("i < m").groupBy("i").agg(F.collect_set("h").alias("c"))
+    gone = durable(gone)
+    lost = among(gone.select("i"))("i")
+    shape = "doc_id long, n_lines long, n_dropped long, kept_text string"
+    some = base.where(lost).join(unplaced(gone, "i"), "i", "left").select("i", "t", "c").mapInArrow(_drop(min_chars), shape)
+    whole = F.coalesce("t", F.lit(""))
+    n = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    rest = base.where(~lost).select(F.col("i").alias("doc_id"), n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), whole.alias("kept_text"))
+    return some.unionByName(rest)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
