@@ -5,9 +5,9 @@ ones extended to twice that length. At the first length a document sends just
 the least-hashed short window of every long window (equal long windows hold
 equal least ones, so none is lost), about one in thirteen; every further length
 sends only windows that are still candidates, so what is shuffled follows the
-repeated text, not the corpus. Groups are reduced to their least document by
-map-side aggregation; the join back is a sort-merge join, whose hot keys
-adaptive execution splits.
+repeated text, not the corpus; of the texts only those with candidates move.
+Groups are reduced to their least document by map-side aggregation; the join
+back has an exchange on both sides, so adaptive execution splits its hot keys.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .durable import small_batches
+from .durable import durable, small_batches
+from .sieve import among, unplaced
 
 START = 25
 
@@ -174,21 +175,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     steps = levels(window, start)
     rows = base.where("i is not null").mapInArrow(_first_level(steps[0], steps[1]), "h long, i long")
     least = rows.groupBy("h").agg(F.min("i").alias("m"), F.max("i").alias("x")).where("m < x").select("h", "m")
-    found = rows.join(least, "h")
+    found = rows.join(unplaced(least, "h"), "h")
     for k, length in enumerate(steps[1:], 1):
         if k > 1:
-            found = rows.join(least, ["h", "g"])
-        cand = found.groupBy("i").agg(F.collect_set(F.struct("h", (F.col("m") < F.col("i")).alias("later"))).alias("c"))
-        # Left joins on both uses of `base`, so that its exchange is made once.
-        rows = base.join(cand, "i", "left").select("i", "t", "c").mapInArrow(
-            _next_level(steps[k - 1], length, k == 1), "h long, g int, i long, p long, later boolean"
-        )
+            found = rows.join(unplaced(least, "h", "g"), ["h", "g"])
+        cand = durable(found.groupBy("i").agg(F.collect_set(F.struct("h", (F.col("m") < F.col("i")).alias("later"))).alias("c")))
+        texts = base.where(among(cand.select("i"))("i")).join(unplaced(cand, "i"), "i")
+        rows = texts.select("i", "t", "c").mapInArrow(_next_level(steps[k - 1], length, k == 1), "h long, g int, i long, p long, later boolean")
         least = rows.groupBy("h", "g").agg(F.min("i").alias("m"), F.max("i").alias("x")).where("m < x").select("h", "g", "m")
-    again = rows.where("later").join(least, ["h", "g"]).where("m < i")
-    places = again.groupBy("i").agg(F.collect_list("p").alias("c"))
-    return base.join(places, "i", "left").select("i", "t", "c").mapInArrow(
-        _remove(window), "doc_id long, n_words long, n_removed long, kept_text string"
-    )
+    again = rows.where("later").join(unplaced(least, "h", "g"), ["h", "g"]).where("m < i")
+    places = durable(again.groupBy("i").agg(F.collect_list("p").alias("c")))
+    touched = among(places.select("i"))("i")
+    some = base.where(touched).join(unplaced(places, "i"), "i", "left").select("i", "t", "c")
+    rest = base.where(~touched).select("i", "t", F.lit(None).cast("array<long>").alias("c"))
+    shape = "doc_id long, n_words long, n_removed long, kept_text string"
+    return some.mapInArrow(_remove(window), shape).unionByName(rest.mapInArrow(_remove(window), shape))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from larkspur.llm import lines, minhash, substring
 from larkspur.llm import tokens as tk
 
@@ -215,3 +216,59 @@ def test_words_match_the_pattern(prose):
     raw = buf.tobytes()
     for d, t in enumerate(texts):
         assert [raw[a:b].decode() for a, b in zip(s[first[d] : first[d + 1]], e[first[d] : first[d + 1]])] == WORD.findall(t)
+
+
+def test_different_texts_under_one_id_stay(docs, prose, odd):
+    t, a, b = prose(50), prose(50), prose(50)
+    rows = [(1, t), (2, t), (3, t + " more"), (4, a), (4, b), (4, b), (5, a + " more"), (None, t), (None, t)] + [(r[0] and r[0] + 10, r[1]) for r in odd]
+    kept = minhash.without_near_copies(docs(rows))
+    assert kept.columns == docs(rows).columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    long = odd[4][1]
+    # Of the near copies 4 and 5 the one with an id of its own stays; both null ids' rows stay.
+    want = Counter([(1, t), (5, a + " more"), (4, b), (None, t), (None, t), (11, None), (12, ""), (13, " \t\n "), (14, "one"), (15, long), (None, "null id text " * 30), odd[8], odd[9]])
+    want = Counter({(i + 10 if i in (7, 8) else i, x): n for (i, x), n in want.items()})
+    assert got == want
+    assert got == Counter((r.doc_id, r.text) for r in minhash.without_near_copies(docs(rows[::-1])).collect())
+    assert minhash.without_near_copies(docs([])).count() == 0
+
+
+@pytest.fixture
+def splitting(spark):
+    """Adaptive execution that divides whatever is twice the median."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_keys_are_divided(spark, docs, prose, splitting, monkeypatch):
+    hot = prose(60)
+    rows = [(k, f"u{k} v{k} {hot} w{k}") for k in range(1500)]
+    plans = []
+    for module in (substring, lines, minhash):
+        real = module.durable
+
+        def spy(df, real=real):
+            out = real(df)
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return out
+
+        monkeypatch.setattr(module, "durable", spy)
+    got = substring.substring_dedup(docs(rows).repartition(8)).collect()
+    assert sum(r.n_removed for r in got) == 60 * 1499
+    assert sum("skew=true" in p for p in plans) >= 2
+    plans.clear()
+    own = [(k, f"{hot}\nu{k}") for k in range(1500)]
+    assert sum(r.n_dropped for r in lines.line_dedup(docs(own).repartition(8)).collect()) == 1499
+    assert any("skew=true" in p for p in plans)
+    plans.clear()
+    star = spark.range(1, 3000).selectExpr("0L as a", "id as b")
+    assert minhash.components(star.repartition(8)).where("c = 0").count() == 3000
+    assert any("skew=true" in p for p in plans)
