@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm.decontaminate import without_contaminated
 from larkspur.llm.durable import shared_path
-from larkspur.llm.minhash import one_of_each
+from larkspur.llm.minhash import without_near_copies
 from larkspur.llm.mixing import mixed_documents
 from larkspur.llm.sharding import sharded_documents
 from larkspur.llm.toxicity import without_toxic
@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
