@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named."""
+    """The cluster's shared folder; a local one only in a local session that names
+    none. A cluster without one is refused."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or f"file://{tempfile.gettempdir()}/larkspur-shared"
 
 
@@ -45,3 +50,14 @@ def release(spark: SparkSession) -> None:
     used; it learns of them only when the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Gives memory that Python and Arrow have freed back to the system, where the
+    C library can: workers are used again, and would keep their largest size."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .durable import durable, release, small_batches
+from .durable import durable, release, small_batches, trim
 from .sieve import among, unplaced
 
 BANDS, ROWS = 32, 4
@@ -119,6 +119,7 @@ def _sign(bands: int, rows: int) -> Callable:
                     parts.append(pa.array(tk.signed(tk.mix(c[e[1:]] - c[e[:-1]])), mask=~some))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(tk.signed(np.ascontiguousarray(h)).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), *parts, keys], ["i", "x", "y", "bands"])
+        trim()
 
     return run
 
@@ -234,6 +235,7 @@ def _compare(least: float) -> Callable:
                 rest.append(batch.slice(lo, hi - lo))
         if rest:
             yield from unit(pa.Table.from_batches(rest))
+        trim()
 
     return run
 
@@ -268,7 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A text without words, null or empty ones among them, is a class of its own:
     its class_id is its id. Rows with a null id are left out of all comparisons
     and get a null class_id. Rows that share an id are one document for links
-    and classes, by any of its texts. Other columns are not read.
+    and classes, by any of its texts. An empty table gives no rows. Other
+    columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession

@@ -294,8 +294,8 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, id_col: str = "d
     national digits, US social security numbers, and dates that exist, in six
     spellings, moved within their century. What fails its validation stays. A
     null text stays null, an empty one empty; ids may be null or repeat; each
-    row is read whole and alone, so nothing is shuffled. Other columns are not
-    read.
+    row is read whole and alone, so nothing is shuffled; an empty table gives no
+    rows. Other columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import tokens as tk
-from .durable import small_batches
+from .durable import small_batches, trim
 from .labelled import in_fit_fold, labelled_sample
 
 #: Everything but digits, letters and non-ASCII bytes parts words here.
@@ -97,7 +97,15 @@ class _Bags:
         return self
 
     def word_sums(self, weight: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, weight[self.feat], minlength=len(self.key))
+        return _sums(self.owner, weight, self.feat, len(self.key))
+
+
+def _sums(by: np.ndarray, values: np.ndarray, at: np.ndarray, n: int, step: int = 1 << 19) -> np.ndarray:
+    """Sums of values[at] by `by`, made piece by piece to hold little at once."""
+    out = np.zeros(n)
+    for lo in range(0, len(by), step):
+        out += np.bincount(by[lo : lo + step], values[at[lo : lo + step]], minlength=n)
+    return out
 
 
 def passages(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +179,7 @@ def fit(sample: list[tuple[str, int]], dim: int = 16, buckets: int = 1 << 17, gr
         per = g / _sizes(b, at, end)
         d = np.bincount(at, per, minlength=len(b.number) + 1) - np.bincount(end, per, minlength=len(b.number) + 1)
         by_word = np.bincount(b.number, np.cumsum(d)[:-1] * b.counts, minlength=len(b.key))
-        by_bucket = np.bincount(b.feat, by_word[b.owner], minlength=buckets).astype(np.float32)
+        by_bucket = _sums(b.feat, by_word, b.owner, buckets).astype(np.float32)
         g_out = (emb * by_bucket[:, None]).sum(0)
         grads = (by_bucket[:, None] * (out[:, 1] - out[:, 0]) + decay * emb, np.stack([-g_out, g_out], 1) + decay * out, np.array([-g.sum(), g.sum()]))
         for x, gx, (m, v) in zip((emb, out, bias), grads, state):
@@ -189,31 +197,41 @@ def _score(model, text: int) -> Callable:
             parts = [model.value.score(buf, offs) for _, _, buf, offs in tk.chunks(b.column(text))]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, "score"])
+        trim()
 
     return run
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, id_col: str, text_col: str, fitting: dict):
+    """The model of labelled_sample(), sent to the executors: `buckets` floats."""
+    sample = labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col)
+    trim()
+    model = fit(sample, **fitting)
+    trim()
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 3000, max_bytes: int = 8 << 20, **fitting) -> DataFrame:
     """Per row: doc_id, score in 0 to 1, the higher the likelier toxic.
 
     Fitted on labelled_sample(); only the text makes the score. A null, empty
     or wordless text gets the model's bias as its score; repeated rows get equal
     scores; ids may be null. Without usable labels every score is the same,
-    near 0. Other columns are not read.
+    near 0; an empty table gives no rows. Other columns, whatever their names,
+    are not read.
     """
     small_batches(docs.sparkSession)
-    model = fit(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col), **fitting)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # `buckets` floats
+    sent = _fitted(docs, labels, label, per_class, max_bytes, id_col, text_col, fitting)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     return base.mapInArrow(_score(sent, 1), "doc_id long, t string, score double").drop("t")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 3000, max_bytes: int = 8 << 20, **fitting) -> DataFrame:
     """The rows of `docs`, all columns, with a score under `least`; nothing is
-    shuffled. As toxicity_scores() otherwise."""
+    shuffled. Rows with a null id are judged like others. As toxicity_scores()
+    otherwise."""
     small_batches(docs.sparkSession)
-    model = fit(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col), **fitting)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = _fitted(docs, labels, label, per_class, max_bytes, id_col, text_col, fitting)
     # Names could clash with a column's, so all are numbered in between.
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     out = StructType([*plain.schema.fields, StructField("score", DoubleType())])
