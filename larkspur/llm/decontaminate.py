@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .durable import durable, shared_path, small_batches
+from .durable import durable, shared_path, small_batches, trim
 from .sieve import among, bitmap, held_in, unplaced
 
 #: Text bytes of a block, about; windows of a segment of an item.
-BLOCK, SEGMENT = 2 << 20, 64
+BLOCK, SEGMENT = 1 << 20, 64
 _INDEX = "block long, term long, n int, at binary, ids array<long>, marks array<long>, first array<int>"
 _MATCH = "doc_id long, mark long, n_words long, hits array<struct<start:int,stop:int>>, items array<string>, near_items array<string>"
 
@@ -67,6 +67,7 @@ def _build(terms, block_bytes: int) -> Callable:
                 rows = [pa.array(np.full(n, block)), pa.array(tk.signed(term)), pa.array(np.diff(begin).astype(np.int32)), lists, *(pa.nulls(n, k) for k in kinds[4:])]
                 yield pa.RecordBatch.from_arrays(rows, names)
                 block += 1
+        trim()
 
     return run
 
@@ -273,6 +274,7 @@ def _intersect(size: int, slack: int | None, share: float) -> Callable:
                 rest.append(b.slice(lo, hi - lo))
         if rest:
             yield block(rest)
+        trim()
 
     return run
 

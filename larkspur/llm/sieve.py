@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +34,9 @@ def among(ids: DataFrame, bits: int = 1 << 25) -> Callable[[str], Column]:
     name = ids.columns[0]
     sent = ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(name).alias("p")), bits).tobytes())
 
-    @F.pandas_udf("boolean")
-    def test(p: pd.Series) -> pd.Series:
-        return pd.Series(held_in(np.frombuffer(sent.value, np.uint8), p.fillna(0).to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def test(p: pa.Array) -> pa.Array:
+        return pa.array(held_in(np.frombuffer(sent.value, np.uint8), p.fill_null(0).to_numpy(zero_copy_only=False)))
 
     return lambda col: F.coalesce(test(F.xxhash64(col)), F.lit(False))
 
