@@ -39,10 +39,13 @@ def rewrite(c: Column, pattern: str, change, needed: str | None = None) -> Colum
     """Every match of `pattern` replaced by `change(match)` in one pass from left
     to right, so nothing is changed twice. `needed`, if given, matches something
     in every match, and spares the search in texts without it."""
-    marked = F.regexp_replace(F.replace(c, F.lit(MARK), F.lit("")), f"({pattern})", f"{MARK}$1{MARK}")
+    marked = F.regexp_replace(c, f"({pattern})", f"{MARK}$1{MARK}")
     parts = F.transform(F.split(marked, MARK), lambda x, i: F.when(i % 2 == 1, change(x)).otherwise(x))
+    # A text that holds the mark itself is taken apart in two passes.
+    matches = F.transform(F.regexp_extract_all(c, F.lit(f"({pattern})"), 1), change)
+    apart = F.zip_with(F.split(c, pattern, -1), matches, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
     found = c.rlike(pattern) if needed is None else c.rlike(needed) & c.rlike(pattern)
-    return F.when(found, F.array_join(parts, "")).otherwise(c)
+    return F.when(found, F.when(F.contains(c, F.lit(MARK)), F.array_join(apart, "")).otherwise(F.array_join(parts, ""))).otherwise(c)
 
 
 def _needed(pattern: str) -> str | None:

@@ -29,18 +29,19 @@ def new_uid(uid: Column, salt: str = "") -> Column:
     return F.concat(F.lit("2.25."), F.conv(F.substring(h, 1, 15), 16, 10), F.lpad(F.conv(F.substring(h, 16, 13), 16, 10), 16, "0"))
 
 
-def anonymise_tags(tags: Column, days: Column | int, salt: str = "") -> Column:
-    """Identifying tags emptied, dates moved, UIDs renewed, free text redacted;
-    all others as they are."""
+def anonymise_tag(k: Column, v: Column, days: Column | int, salt: str = "") -> Column:
+    """The new value of tag `k`: identifying ones emptied, dates moved, UIDs
+    renewed, free text redacted; others as they are."""
+    has = F.trim(v) != ""
+    return (
+        F.when(k.isin(*sorted(BLANK)), F.lit("")).when(has & k.isin(*sorted(DATES)), dates.shift_tag(v, days))
+        .when(has & k.isin(*sorted(UIDS)), new_uid(v, salt)).when(has & k.isin(*sorted(FREE_TEXT)), redact(v)).otherwise(v)
+    )
 
-    def one(k: Column, v: Column) -> Column:
-        has = F.trim(v) != ""
-        return (
-            F.when(k.isin(*sorted(BLANK)), F.lit("")).when(has & k.isin(*sorted(DATES)), dates.shift_tag(v, days))
-            .when(has & k.isin(*sorted(UIDS)), new_uid(v, salt)).when(has & k.isin(*sorted(FREE_TEXT)), redact(v)).otherwise(v)
-        )
 
-    return F.transform_values(tags, one)
+def anonymise_tags(tags: Column, days: Column | int, salt: str = "") -> Column:
+    """anonymise_tag() on a map of tags."""
+    return F.transform_values(tags, lambda k, v: anonymise_tag(k, v, days, salt))
 
 
 def redact_everywhere(tags: Column, text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.text import redact_literals
+from ..sources.shared import durable
 from .detectors import Detector, RuleDetector, detect
 
 OVERLAP = 500
@@ -72,7 +73,7 @@ def deidentify(docs: DataFrame, days: Column | int, detector: Detector | None =
 
     docs, _ = once(docs, detector, most)
     for _ in range(passes):
-        docs = docs.checkpoint() if docs.sparkSession.sparkContext.getCheckpointDir() else docs
+        docs = durable(docs)
         docs, found = once(docs, checker or detector, check_most)
         if found.where("text is not null").isEmpty():
             break

@@ -70,5 +70,7 @@ def rounds(todo: DataFrame, process: Callable[[DataFrame], DataFrame], most: int
             break
         wait(n)
         new = process(todo.join(again, "path", "left_semi"))
+        if "retries_attempted" in new.columns:
+            new = new.withColumn("retries_attempted", F.lit(n))
         results = results.join(new.select("input_path"), "input_path", "left_anti").select(results.columns).unionByName(new.select(results.columns))
     return results

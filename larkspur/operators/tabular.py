@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.text import is_open, mask, redact_literals
+from ..sources.shared import durable
 from .detectors import Detector, RuleDetector, detect
 
 INDEX = "_row_index"
@@ -111,7 +112,7 @@ def deidentify(df: DataFrame, days: Column | int, detector: Detector | None = No
     n, left = 0, True
     while rest and left and n < passes:
         n += 1
-        df = df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+        df = durable(df)
         found = detect(_units(df, rest), checker or detector, **calls)
         left = not found.where("text is not null").isEmpty()
         df = redact_cells(df, found)

@@ -212,6 +212,13 @@ def apply_mask(pixels: np.ndarray, mask: np.ndarray, value: int = 0) -> np.ndarr
     return out
 
 
+def defacing_mask(channels: np.ndarray, most: float = 0.1) -> np.ndarray:
+    """What a defacing model leaves dark: 1 where the mean of its channels is
+    under `most`."""
+    c = np.asarray(channels, float)
+    return ((c.mean(-1) if c.ndim == 3 else c) < most).astype(np.uint8)
+
+
 def hide_in_files(images: DataFrame, boxes: DataFrame, pad: int = 5) -> DataFrame:
     """images (file, shape, dtype, photometric, pixels) with the boxes of their
     file (file, x, y, width, height) hidden in all their frames."""

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +20,19 @@ from ..functions.text import is_hidden, is_system_file, route
 
 def scan(spark: SparkSession, root: str, recursive: bool = True, skip_hidden: bool = True, content: bool = True) -> DataFrame:
     """(path relative to root, file, length, modified, [content], kind) of all
-    files but system and hidden ones. Without `content` no bytes are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    prefix = root.rstrip("/").removeprefix("file://") + "/"
+    files but system and hidden ones, or of the one file `root`, whose path is its
+    name. Without `content` no bytes are read. Empty files are listed too."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    one = fs.exists(p) and not fs.getFileStatus(p).isDirectory()
     local = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    prefix = (os.path.dirname(root) if one else root).rstrip("/").removeprefix("file://") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     rows = files.select(local(F.col("path")).alias("file"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
-    # The reader passes over empty files; the index that it lists them from doesn't.
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string").select(local(F.col("file")).alias("file"))
-    none = listed.join(rows.select("file"), "file", "left_anti").select("file", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"), *([F.lit(b"").alias("content")] if content else []))
-    out = rows.unionByName(none)
+    # The reader passes over empty files; the index that it lists them from, which the driver holds anyway, doesn't.
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "file string").select(local(F.col("file")).alias("file"))
+    empty = listed.join(rows.select("file"), "file", "left_anti").select("file", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"), *([F.lit(b"").alias("content")] if content else []))
+    out = rows.unionByName(empty)
     out = out.withColumn("path", F.substring("file", F.lit(len(prefix) + 1), F.length("file"))).select("path", "file", "length", "modified", *(["content"] if content else []))
     out = out.where(~is_system_file(F.col("path")))
     if skip_hidden:
@@ -33,6 +40,11 @@ def scan(spark: SparkSession, root: str, recursive: bool = True, skip_hidden: bo
     return out.withColumn("kind", route(F.col("path"), F.col("content") if content else None))
 
 
+def listing(spark: SparkSession, root: str, **settings) -> DataFrame:
+    """scan() without contents, by path."""
+    return scan(spark, root, content=False, **settings).orderBy("path")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns strings, quoted newlines kept, empty fields ''."""
     df = spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False, emptyValue="", nullValue="\u0000", mode="PERMISSIVE").csv(path)
@@ -50,9 +62,10 @@ def preview(text, n: int = 1000):
 
 
 def read_table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A state or mapping table; an empty one where there is none yet."""
+    """A state or mapping table; an empty one where there is none yet. Files of it
+    that are no tables are passed over."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
@@ -60,21 +73,27 @@ def read_table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFram
 def write_each(outputs: DataFrame, root: str) -> DataFrame:
     """Writes (path, content) rows as files under `root`, each by a rename, so a
     repeated task leaves the same file; one result row each. Paths that leave
-    `root` are refused."""
-    base = os.path.abspath(root)
+    `root` are refused. `root` is a folder of a file system that pyarrow knows
+    (file, hdfs, s3, gs), shared by the executors."""
+    if "://" in root:
+        base = root.rstrip("/")
+    else:
+        base = os.path.abspath(root.removeprefix("file:"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = pafs.FileSystem.from_uri(base) if "://" in base else (pafs.LocalFileSystem(), base)
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
                 try:
-                    to = os.path.abspath(os.path.join(base, r.path))
-                    if not to.startswith(base + os.sep):
+                    to = posixpath.normpath(posixpath.join(top, r.path))
+                    if not to.startswith(top.rstrip("/") + "/"):
                         raise ValueError("path outside the output directory")
-                    os.makedirs(os.path.dirname(to), exist_ok=True)
+                    fs.create_dir(posixpath.dirname(to), recursive=True)
                     part = f"{to}.part-{os.getpid()}"
-                    Path(part).write_bytes(bytes(r.content))
-                    os.replace(part, to)
+                    with fs.open_output_stream(part) as out:
+                        out.write(bytes(r.content))
+                    fs.move(part, to)
                     rows.append((r.path, to, True, None))
                 except (OSError, ValueError) as e:
                     rows.append((r.path, None, False, str(e)))
@@ -90,3 +109,26 @@ def zip_outputs(root: str, to: str) -> int:
         for p in names:
             z.write(p, p.relative_to(root))
     return len(names)
+
+
+FOLDER_CSV, FILE_CSV = "folder_anonymization.csv", "filename_anonymization.csv"
+
+
+def read_mappings(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(folder, alias) and (to_folder, name, alias) of the mapping files under an
+    output directory, wherever they lie; empty where there are none."""
+
+    def csvs(pattern: str, schema: str) -> DataFrame:
+        try:
+            return spark.read.schema(schema).options(header=True, multiLine=True, escape='"', recursiveFileLookup=True, pathGlobFilter=pattern).csv(out)
+        except AnalysisException:
+            return spark.createDataFrame([], schema).withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
+
+    folders = csvs(FOLDER_CSV, "original_foldername string, anonymized_foldername string, phi_values string, phi_categories string")
+    folders = folders.where("original_foldername <> '' and anonymized_foldername <> ''").select(F.col("original_foldername").alias("folder"), F.col("anonymized_foldername").alias("alias"))
+    files = csvs(FILE_CSV, "original_filename string, anonymized_filename string, phi_values string, phi_categories string")
+    prefix = out.rstrip("/").removeprefix("file://")
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
+    folder = F.regexp_replace(F.substring(path, F.lit(len(prefix) + 2), F.length(path)), rf"/?{FILE_CSV.replace('.', '[.]')}$", "")
+    files = files.select(F.url_decode(folder).alias("to_folder"), F.col("original_filename").alias("name"), F.col("anonymized_filename").alias("alias")).where("name <> '' and alias <> ''")
+    return folders.dropDuplicates(["folder"]), files.dropDuplicates(["to_folder", "name"])

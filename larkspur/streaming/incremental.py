@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
-from ..sources.files import read_table_or_empty
+from ..sources.shared import read_current, replace_current
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -25,14 +25,12 @@ def process_new(spark: SparkSession, root: str, state_path: str, checkpoint: str
 
     def one(batch: DataFrame, number: int) -> None:
         files = batch.withColumn("hash", state.file_hash(F.col("content")))
-        known = read_table_or_empty(spark, f"{state_path}/current", state.SCHEMA)
+        known = read_current(spark, state_path, state.SCHEMA)
         todo = state.pending(files, known)
         if todo.isEmpty():
             return
         changes = state.from_results(process(todo))
-        merged = state.upsert(known, changes)
-        merged.write.mode("overwrite").parquet(f"{state_path}/next")
-        spark.read.parquet(f"{state_path}/next").write.mode("overwrite").parquet(f"{state_path}/current")
+        replace_current(spark, state_path, state.upsert(known, changes))
 
     query = stream_files(spark, root).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

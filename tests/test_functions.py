@@ -112,3 +112,9 @@ def test_geometry(spark):
     ).first()
     assert tuple(df.p) == (0, 0, 14, 18) and df.i == pytest.approx(25 / 175) and df.z == 0.0
     assert tuple(df.f) == (1, 2, 4, 7) and tuple(df.r) == (25, 5, 35, 10) and (df.s, df.t) == (0.5, 1.0)
+
+
+def test_rewrite_keeps_the_mark(spark):
+    rows = [("a\x01b 1.2.3.4 c\x01d",), ("\x01",), ("1.2.3.4\x015.6.7.8",), ("\x011.2.3.4",), (None,), ("x 1.2.3.4",)]
+    got = [r.t for r in spark.createDataFrame(rows, "t string").select(text.redact(F.col("t")).alias("t")).collect()]
+    assert got == ["a\x01b ******* c\x01d", "\x01", "*******\x01*******", "\x01*******", None, "x *******"]

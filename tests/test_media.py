@@ -1,10 +1,12 @@
 """Images, DICOM files, sound and their flows, with scripted backends."""
 
+import json
 import struct
 import zlib
 
 import numpy as np
 import pytest
+from larkspur.operators import audio, media
 from larkspur.sources import pixels as px
 
 
@@ -89,3 +91,101 @@ def test_pdf_of_pages():
     assert data.startswith(b"%PDF-1.4") and data.count(b"/Type /Page ") == 2 and zlib.compress(a.tobytes()) in data
     start = int(data.split(b"startxref\n")[1].split()[0])
     assert data[start:].startswith(b"xref") and all(data[int(x[:10]) :].startswith(b"%d 0 obj" % k) for k, x in enumerate(data[start:].split(b"\n")[3:11], 1))
+
+
+READINGS = [("MRN 12345678", 10, 10, 80, 12), ("mail a.b@c.example.com", 10, 40, 120, 12), ("Kidney left", 10, 70, 60, 12)]
+
+
+def reader(extra=(), scale=1):
+    """Reads what is written in a place unless it is all of one value."""
+
+    def read(p):
+        return [{"text": t, "x": x, "y": y, "width": w, "height": h, "confidence": 0.9} for t, x, y, w, h in [*READINGS, *extra] if np.ptp(p[y : y + h, x : x + w]) > 0]
+
+    return read
+
+
+def picture(colour=False, kind=np.uint8):
+    a = np.random.default_rng(3).integers(1, 200, (128, 160, 3) if colour else (128, 160)).astype(kind)
+    return a
+
+
+def test_image_is_redacted_and_checked():
+    a = picture(True)
+    b = media.Backends(ocr=reader(), faces=lambda p: [{"x": 100, "y": 90, "width": 35, "height": 35, "confidence": 0.9}, {"x": 0, "y": 100, "width": 20, "height": 20, "confidence": 0.9}])
+    data, report = media.redact_image(px.write_png(a), b)
+    out = px.read_png(data)
+    assert (report.texts, report.faces, report.rounds, report.clean) == (2, [1], 0, True)
+    hidden = np.zeros((128, 160), bool)
+    for x, y, w, h, pad in ((10, 10, 80, 12, 5), (10, 40, 120, 12, 5), (100, 90, 35, 35, 10)):
+        hidden[max(0, y - pad) : y + h + pad, max(0, x - pad) : x + w + pad] = True
+    assert (out[hidden] == 0).all() and (out[~hidden] == a[~hidden]).all()
+
+
+def test_checks_find_more_and_stop():
+    a = picture(True)
+    calls = []
+
+    def pii(p, texts):
+        calls.append(len(texts))
+        # The first look misses one; checks name it with a letter misread.
+        names = ["MRN 12345678"] if len(calls) == 1 else ["mail a.b@c.exampIe.com"] if np.ptp(p[40:52, 10:130]) > 0 else []
+        return "text: " + ", type: id_number\ntext: ".join(names) + ", type: id_number" if names else "nothing"
+
+    data, report = media.redact_image(px.write_png(a), media.Backends(ocr=reader(), pii=pii))
+    assert (report.texts, report.checked, report.rounds, report.clean) == (1, 1, 1, True)
+    # What can't be placed stays unverified.
+    _, report = media.redact_image(px.write_png(a), media.Backends(ocr=reader(), pii=lambda p, t: [{"text": "zzzzzzzz", "type": "name"}]))
+    assert not report.clean and report.unplaced == 1 and report.rounds == 0
+    # Always something new: the rounds end.
+    n = iter(range(9))
+    more = media.Backends(ocr=lambda p: [{"text": "abcdef", "x": 5 * next(n), "y": 5, "width": 40, "height": 20, "confidence": 1.0}], pii=lambda p, t: [{"text": "abcdef", "type": "name"}])
+    _, report = media.redact_image(px.write_png(a), more)
+    assert report.rounds == 2 and not report.clean
+    with pytest.raises(RuntimeError, match="backend for ocr"):
+        media.redact_image(px.write_png(a), media.Backends())
+
+
+def test_handwriting_takes_what_is_left():
+    a = picture(True)
+    state = {"n": 0}
+
+    def pii(p, texts):
+        state["n"] += 1
+        return [{"text": "Jane Doe", "type": "name"}] if np.ptp(p[0:96, 0:160]) > 0 else []
+
+    b = media.Backends(ocr=reader(), pii=pii, handwriting=lambda crop: "Jane Do" if crop.shape[0] == 96 and crop.shape[1] == 160 else "")
+    _, report = media.redact_image(px.write_png(a), b)
+    assert report.checked >= 1 and report.rounds >= 1
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+def test_dicom_frames(kind):
+    frames = np.stack([picture(kind=kind) * 3 if kind is np.uint16 else picture() for _ in range(3)])
+    d = px.new_dicom(frames, {"PatientName": "Doe^Jane", "Modality": "US", "SeriesDescription": "left kidney"})
+    b = media.Backends(ocr=reader(), head_scan=lambda p: "I think YES", deface=lambda p: np.where(np.arange(256)[:, None, None] < 8, 0.0, 1.0) * np.ones((1, 256, 3)))
+    data, report = media.redact_dicom(px.write_dicom(d), {"PatientName": ""}, b)
+    e = px.read_dicom(data)
+    out = e.pixels()
+    low = frames.min()
+    assert out.dtype.itemsize == frames.dtype.itemsize and (out[:, 10:22, 10:90] == low).all() and (out[:, 40:52, 10:130] == low).all()
+    assert (out[:, :4] == low).all() and (out[:, 100:] == frames[:, 100:]).all()
+    assert (report.head_scan, report.defaced, report.faces, report.clean) == (True, 3, [0, 0, 0], True)
+    assert e.tags()["PatientName"] == "" and e.tags()["ImageComments"] == "De-identified"
+    no = media.Backends(ocr=reader(), head_scan=lambda p: 1 / 0, deface=lambda p: 1 / 0)
+    assert media.redact_dicom(px.write_dicom(d), {}, no)[1].head_scan is False
+
+
+def test_pages_video_and_sound():
+    pages = [picture(True), picture()]
+    b = media.Backends(
+        ocr=reader(), pdf_pages=lambda data: pages, video_frames=lambda data: ([picture(True)] * 2, 25.0), video_save=lambda f, fps: f"{len(f)} at {fps}".encode(),
+        transcribe=lambda s, rate: f"{len(s) / rate:.0f} s, call 0171234567", speak=lambda t: np.full(100 * len(t), 0.25, np.float32),
+    )
+    data, report = media.redact_pdf(b"%PDF", b)
+    assert data.count(b"/Type /Page ") == 2 and report.texts == 4 and report.clean and json.loads(report.json())["hidden"] == 4
+    assert media.redact_video(b"", b)[0] == b"2 at 25.0"
+    wav = audio.to_wav(np.zeros(2 * audio.RATE))
+    assert media.transcript(wav, b) == "2 s, call 0171234567"
+    samples, _ = audio.from_wav(media.spoken("call ********** now", b))
+    assert len(samples) == 400 + len(audio.beep()) + 300 and abs(samples[:400] - 0.25).max() < 1e-3
