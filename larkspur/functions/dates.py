@@ -57,11 +57,15 @@ def _moved(s: Column, days: Column, shape: str, read: str, write: str) -> Column
     return F.when(s.rlike(shape), F.date_format(ts + F.make_dt_interval(days), write))
 
 
-def shift(c: Column, days: Column | int) -> Column:
+def shift(c: Column, days: Column | int, reading: str | None = None) -> Column:
     """A date, year or range of years moved by `days`; null if it is none. Years
-    move by whole 365-day years, rounded down; a clock time stays itself."""
+    move by whole 365-day years, rounded down; a clock time stays itself. Where
+    all values are known to have one format of FORMATS, `reading` names it and
+    spares the search for it; values of other formats are then null."""
     days = F.lit(days) if isinstance(days, int) else days
     s = F.trim(F.regexp_replace(c, r"\s+", " "))
+    if reading is not None:
+        return _moved(s, days, *next(f for f in FORMATS if f[1] == reading))
     years = F.floor(days / 365)
     move = lambda y: (y.cast("int") + years).cast("string")
     span = F.concat(move(F.regexp_extract(s, _RANGE, 1)), F.regexp_extract(s, _RANGE, 2), move(F.regexp_extract(s, _RANGE, 3)))

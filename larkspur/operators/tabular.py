@@ -53,6 +53,11 @@ def date_log(df: DataFrame, days: Column | int) -> DataFrame:
     return found.select("row_index", "column", "original", dates.shift_token(F.col("original"), F.col("_d")).alias("shifted"))
 
 
+def rows_touched(log: DataFrame) -> DataFrame:
+    """(rows, cells, changes) of a log with row_index and column."""
+    return log.agg(F.countDistinct("row_index").alias("n_rows"), F.countDistinct("row_index", "column").alias("n_cells"), F.count("*").alias("n_changes"))
+
+
 def identifier_columns(df: DataFrame, detector=None, sample: int = 5) -> list[str]:
     """Columns to mask whole, judged by their names and the first few rows: a
     detector's `columns(names, rows)`, by default names that end in an id or

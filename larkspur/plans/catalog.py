@@ -210,14 +210,31 @@ def patient_offset(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", dates.subject_offset(F.col("c_name")).alias("offset_days"))
 
 
+def _moved_dates(spark, sf_dir) -> DataFrame:
+    """Dates of orders and of their items, each before and after it moved by its
+    customer's offset, which is found once an order."""
+    iso = "yyyy-M-d"
+    moved = lambda c: F.to_date(dates.shift(F.date_format(c, "yyyy-MM-dd"), F.col("off"), iso))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", dates.subject_offset(F.col("o_custkey").cast("string")).alias("off"))
+    o = o.withColumn("ordered_to", moved("o_orderdate"))
+    both = o.join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.withColumn("shipped_to", moved("l_shipdate"))
+
+
+@query(
+    f"""with x as (select o_custkey, o_orderdate + cast({_OFFSET.format(k="cast(o_custkey as varchar)")} as int) * interval 1 day as o, l_shipdate + cast({_OFFSET.format(k="cast(o_custkey as varchar)")} as int) * interval 1 day as s from orders join lineitem on o_orderkey = l_orderkey)
+select o_custkey, cast(min(o) as date) as first_order, cast(max(s) as date) as last_shipped, count(distinct cast(o as date)) as n_days from x group by 1"""
+)
+def patient_moved_span(spark, sf_dir):
+    """The span of every subject's dates after all have moved."""
+    return _moved_dates(spark, sf_dir).groupBy("o_custkey").agg(F.min("ordered_to").alias("first_order"), F.max("shipped_to").alias("last_shipped"), F.countDistinct("ordered_to").alias("n_days"))
+
+
 @query("select o_custkey, count(*) as n, count(*) as n_same from orders join lineitem on o_orderkey = l_orderkey group by o_custkey")
 def patient_interval_preserved(spark, sf_dir):
     """Days between a subject's dates are the same after both have moved."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    both = o.join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate"), F.col("o_orderkey") == F.col("l_orderkey"))
-    off = dates.subject_offset(F.col("o_custkey").cast("string"))
-    moved = lambda c: F.to_date(dates.shift(F.date_format(c, "yyyy-MM-dd"), off))
-    same = F.datediff(moved("l_shipdate"), moved("o_orderdate")) == F.datediff("l_shipdate", "o_orderdate")
+    both = _moved_dates(spark, sf_dir)
+    same = F.datediff("shipped_to", "ordered_to") == F.datediff("l_shipdate", "o_orderdate")
     return both.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(same).alias("n_same"))
 
 
@@ -555,3 +572,6 @@ def event_windows(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events"))
 
 
+
+
+from . import files_catalog  # noqa: E402, F401  (adds its queries)
