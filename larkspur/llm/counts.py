@@ -174,5 +174,22 @@ def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     return roll.totals()
 
 
-QUERIES = {"op6_token_counts": op6_token_counts}
-SQL: dict[str, str] = {}
+def op6_word_totals(spark, sf_dir: str) -> DataFrame:
+    """The totals of words alone, which SQL can count as well, after a
+    compaction."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts = durable(docs.select("source", "lang", F.lit("words-1").alias("tokenizer"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("tokens")))
+    roll = Rollup(spark, shared_path(spark, "word-totals"))
+    roll.commit("load", inserted(counts))
+    roll.commit("again", inserted(counts))
+    roll.compact()
+    roll.commit("back", deleted(counts))
+    roll.commit("load", inserted(counts))
+    return roll.totals()
+
+
+QUERIES = {"op6_token_counts": op6_token_counts, "op6_word_totals": op6_word_totals}
+SQL = {
+    "op6_word_totals": r"""
+select source, lang, 'words-1' as tokenizer, count(*) as docs, cast(sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) as bigint) as tokens from documents group by 1, 2"""
+}

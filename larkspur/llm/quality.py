@@ -247,8 +247,11 @@ def line_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     content. A null or empty text is one empty line and fails; ids may be null
     or repeat, each row is judged alone. Other columns are not read.
     """
+    return _base(docs, id_col, text_col, fit(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col)))
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str, verdict: Verdict) -> DataFrame:
     small_batches(docs.sparkSession)
-    verdict = fit(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col))
     sent = docs.sparkSession.sparkContext.broadcast(verdict)  # a few numbers
     out = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(_judge(sent), _OUT)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -261,5 +264,22 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-SQL: dict[str, str] = {}
+def op10_base_counts(spark, sf_dir: str) -> DataFrame:
+    """The counts of op10_quality_rules, which need no labels."""
+    return _base(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", Verdict(Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2))), 0.5)).drop("content_lines", "content_share", "kept")
+
+
+QUERIES = {"op10_quality_rules": op10_quality_rules, "op10_base_counts": op10_base_counts}
+SQL = {
+    "op10_base_counts": r"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+w as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w from d),
+g as (select r, p, array_to_string(w[p : p + 4], ' ') k from (select r, w, unnest(range(1, len(w) - 3)) p from w where len(w) >= 5)),
+rep as (select r, count(distinct q) n from (select r, unnest(range(p, p + 5)) q from (select r, p, count(*) over (partition by r, k) c from g) where c > 1) group by r),
+l as (select r, line, count(*) c from (select r, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by all),
+dup as (select r, sum(c - 1) n from l group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) word_chars,
+  cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) n_symbols, cast(coalesce(dup.n, 0) as bigint) n_dup_lines, cast(coalesce(rep.n, 0) as bigint) n_repeat_words,
+  len(w) < 10 or 100 * coalesce(rep.n, 0) > 20 * len(w) base_failed
+from w left join dup using (r) left join rep using (r)"""
+}

