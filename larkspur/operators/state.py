@@ -60,6 +60,11 @@ def summary(results: DataFrame) -> DataFrame:
     return results.groupBy("success").agg(F.count("*").alias("n"), F.avg("processing_time").alias("avg_time"))
 
 
+def first_failed(results: DataFrame, most: int = 10) -> DataFrame:
+    """The first failures by path, for a report."""
+    return results.where(~F.col("success")).select("input_path", "error").orderBy("input_path").limit(most)
+
+
 def rounds(todo: DataFrame, process: Callable[[DataFrame], DataFrame], most: int = 3, wait: Callable[[int], None] = lambda n: None) -> DataFrame:
     """Results of `process` (input_path, success, error, ...); what failed in a
     way that can pass is tried again, up to `most` times."""

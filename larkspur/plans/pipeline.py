@@ -191,7 +191,7 @@ def deidentify_units(u: DataFrame, detector: Detector, passes: int, most: int =
 
 def deidentify_directory(
     spark: SparkSession, root: str, out: str, salt: str = "", detector: Detector | None = None, passes: int = 3, hashes: bool = True, allow_unverified: bool = False, recursive: bool = True,
-    backends: Backends | None = None, columns: Callable | None = None, names: Detector | None = None, kinds: Callable | None = None, skip_existing: bool = False, mappings: bool = True, rounds: int = 3,
+    backends: Backends | None = None, columns: Callable | None = None, names: Detector | None = None, kinds: Callable | None = None, skip_existing: bool = False, mappings: bool = True, audit: bool = False, rounds: int = 3,
     **calls,
 ) -> DataFrame:
     """Every new or changed file under `root` (a folder or one file), written
@@ -202,7 +202,8 @@ def deidentify_directory(
     the columns to mask; `names` finds personal data in file and folder names;
     `kinds` (a Column of the path) is asked for a kind before the extension is.
     Failures that can pass are tried again in up to `rounds` rounds, after 30, 60
-    and 90 seconds. With `skip_existing` a file whose output is there counts as
+    and 90 seconds. `audit` writes a file of each result row beside its output.
+    With `skip_existing` a file whose output is there counts as
     done. States and aliases are kept under `out`/_tables, a version each run,
     and make the next run go on from there; mapping files (`mappings`) lie beside
     the outputs, and are where a run without tables goes on from.
@@ -249,6 +250,9 @@ def deidentify_directory(
     results = state.rounds(todo, process, rounds, lambda n: sleep(30 * n))
     results = durable(results if existing is None else results.unionByName(existing))
     tables.write({"folders": folders, "files": aliases, "state": state.upsert(known, state.from_results(results))})
+    if audit:
+        to = todo.select(F.col("path").alias("input_path"), "to")
+        files.write_each(files.sidecars(results.where("success").join(to, "input_path")), out).write.format("noop").mode("overwrite").save()
     if mappings:
         _write_mappings(results, folders, aliases, where, bases, out)
     return results

@@ -61,6 +61,48 @@ def preview(text, n: int = 1000):
     return F.substring(text, 1, n)
 
 
+MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tiff": "image/tiff"}
+
+
+def image_preview(path, content):
+    """An image as a data URL, its kind told by the extension, by default PNG."""
+    kinds = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
+    kind = F.coalesce(F.try_element_at(kinds, F.lower(F.regexp_extract(path, r"[.]([^.]*)$", 1))), F.lit("image/png"))
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content))
+
+
+def probe(files: DataFrame) -> DataFrame:
+    """What files (scan()) are, without their being processed: path, kind, length,
+    whether they are supported, and for DICOM files frames, size, colour, modality."""
+    shape = "struct<frames:int,rows:int,columns:int,is_color:boolean,modality:string,error:string>"
+
+    @F.pandas_udf(shape)
+    def look(content: pd.Series) -> pd.DataFrame:
+        from .pixels import read_dicom
+
+        rows = []
+        for c in content:
+            try:
+                d = read_dicom(bytes(c))
+                t = d.tags()
+                rows.append((int(t.get("NumberOfFrames") or 1), int(t["Rows"]), int(t["Columns"]), int(t.get("SamplesPerPixel") or 1) >= 3, t.get("Modality"), None))
+            except Exception as e:
+                rows.append((None, None, None, None, None, str(e)))
+        return pd.DataFrame(rows, columns=["frames", "rows", "columns", "is_color", "modality", "error"]).astype({"frames": "Int32", "rows": "Int32", "columns": "Int32", "is_color": "boolean"})
+
+    seen = files.where(F.col("kind") == "dicom").select("path", look("content").alias("d"))
+    out = files.select("path", "kind", "length", F.col("kind").isNotNull().alias("supported")).join(seen, "path", "left")
+    video = F.when(F.col("kind") == "video", True).otherwise(F.coalesce(F.col("d.frames") > 1, F.lit(False)))
+    return out.select("path", "kind", "length", "supported", video.alias("is_video"), "d.frames", "d.rows", "d.columns", "d.is_color", "d.modality", F.col("d.error").alias("error"))
+
+
+def sidecars(results: DataFrame) -> DataFrame:
+    """(path, content) of an audit file beside every output: its result row as
+    JSON, named <stem>_debug.json."""
+    to = F.concat(F.regexp_replace("to", r"[.][^./]*$", ""), F.lit("_debug.json"))
+    return results.where("to is not null").select(to.alias("path"), F.to_json(F.struct(*[c for c in results.columns if c != "to"])).cast("binary").alias("content"))
+
+
 def read_table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state or mapping table; an empty one where there is none yet. Files of it
     that are no tables are passed over."""

@@ -60,6 +60,15 @@ def read_xlsx(data: bytes) -> dict[str, tuple[list[str], list[list[str]]]]:
     return out
 
 
+def display(sheets: dict[str, tuple[list[str], list[list[str]]]]) -> str:
+    """A workbook as text for a model: every sheet's name, header and rows, cells
+    parted by bars."""
+    out = []
+    for name, (header, rows) in sheets.items():
+        out.append("\n".join([f"=== Sheet: {name} ===", *(" | ".join(r) for r in [header, *rows] if r)]))
+    return "\n\n".join(out)
+
+
 def write_xlsx(sheets: dict[str, tuple[list[str], list[list[str]]]]) -> bytes:
     """A workbook of string cells; a sheet without rows keeps its header."""
     buf = io.BytesIO()
