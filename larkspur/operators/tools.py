@@ -43,12 +43,13 @@ def shift_datetime(value: str, days: int) -> str:
 
 
 def redact_text(text: str) -> str:
-    return "*" * len(text) if text.strip() else ""
+    """As many asterisks as characters; a blank text is refused in words."""
+    return "*" * len(text) if text.strip() else "[REDACT_FAILED: empty text]"
 
 
 def redact_column(column: str, reason: str = "") -> str:
     """What a model is told of a column that is to be masked."""
-    return f"[REDACT_COLUMN:{column}:{reason}]" if column.strip() else "[REDACTED]"
+    return f"[REDACT_COLUMN:{column}:{reason}]" if column.strip() else "[REDACT_COLUMN_FAILED: empty column name]"
 
 
 class Tools:
@@ -78,12 +79,12 @@ class Tools:
 
     def _star(self, text: str) -> str:
         out = redact_text(text)
-        if out:
+        if text.strip():
             self.replaced[text] = out
         return out
 
     def _mask(self, column: str, reason: str = "") -> str:
-        self.columns.append(column)
+        self.columns += [column] if column.strip() else []
         return redact_column(column, reason)
 
     def applied(self, text: str) -> str:

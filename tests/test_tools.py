@@ -25,7 +25,7 @@ def test_tool_and_column_agree(spark, days):
 
 def test_tools_are_called_and_applied(spark):
     t = tools.Tools(400)
-    assert t.call("redact_text", {"text": "Jane"}) == "****" and t.call("redact_text", {"text": " "}) == ""
+    assert t.call("redact_text", {"text": "Jane"}) == "****" and "FAILED" in t.call("redact_text", {"text": " "}) and "FAILED" in t.call("redact_column", {"column": ""})
     assert t.call("shift_datetime", {"value": "2140-09-25"}) == "2141-10-30" and t.call("shift_datetime", {"value": "soon"}) == "soon [SHIFT_FAILED]"
     assert t.call("redact_column", {"column": "name", "reason": "names"}).startswith("[REDACT") and t.columns == ["name"]
     assert t.call("fly", {}).startswith("Error") and t.call("redact_text", {"no": 1}).startswith("Error")
