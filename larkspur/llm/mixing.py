@@ -198,16 +198,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return _placed(rows, p).withColumn("seat", F.expr(seat)).select("doc_id", "size", "source_size", "target", F.expr(taken).alias("taken"), "quota", F.expr(first).alias("first_shard"))
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights=WEIGHTS, block: int = BLOCK, seed: int = 1) -> DataFrame:
-    """The mix itself, with the columns of `docs` (doc_id and n_chars among
-    them): every document as often as all its blocks are taken, and once more,
+def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights=WEIGHTS, block: int = BLOCK, seed: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """The mix itself, with the columns of `docs` (n_chars, if it is among
+    them, is counted anew): every document as often as all its blocks are taken, and once more,
     with the words of just those blocks, if some are taken once more. What is
     not taken goes; see mix()."""
     small_batches(docs.sparkSession)
     p = plan(docs, source_col, size_of(text_col), weights, block, seed)
     # Names could clash with the plan's, so the columns are numbered in between.
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.toDF(*at.values()).withColumns({"doc_id": F.col(at["doc_id"]), "source": F.col(at[source_col]).cast("string")})
+    plain = docs.toDF(*at.values()).withColumns({"doc_id": F.col(at[id_col]), "source": F.col(at[source_col]).cast("string")})
     rows = _placed(plain.withColumn("size", size_of(at[text_col])), p).where("size > 0").select(*at.values(), "lo", "size", "a", "b", "m", "base", "extra")
     schema = StructType([*rows.schema.fields, StructField("part", StringType())])
     rows = rows.mapInArrow(_cut(block, docs.columns.index(text_col), len(docs.columns)), schema)

@@ -12,8 +12,8 @@ back has an exchange on both sides, so adaptive execution splits its hot keys.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import compress
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, compress, count
 from zlib import crc32
 
 import numpy as np
@@ -159,6 +159,29 @@ def _remove(window: int) -> Callable:
     return run
 
 
+def doubled(base: DataFrame, lengths: Iterable[int]) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """(length, windows, repeated ones' least ids) for one length after the other
+    of `base` (i, t), each from what the length before left, until no candidate
+    survives or the lengths end. The first length gives none of its own."""
+    lengths = iter(lengths)
+    prev, length = next(lengths), next(lengths)
+    rows = base.where("i is not null").mapInArrow(_first_level(prev, length), "h long, i long")
+    least = rows.groupBy("h").agg(F.min("i").alias("m"), F.max("i").alias("x")).where("m < x").select("h", "m")
+    found, first = rows.join(unplaced(least, "h"), "h"), True
+    while True:
+        cand = durable(found.groupBy("i").agg(F.collect_set(F.struct("h", (F.col("m") < F.col("i")).alias("later"))).alias("c")))
+        if cand.isEmpty():
+            return
+        texts = base.where(among(cand.select("i"))("i")).join(unplaced(cand, "i"), "i")
+        rows = texts.select("i", "t", "c").mapInArrow(_next_level(prev, length, first), "h long, g int, i long, p long, later boolean")
+        least = rows.groupBy("h", "g").agg(F.min("i").alias("m"), F.max("i").alias("x")).where("m < x").select("h", "g", "m")
+        yield length, rows, least
+        prev, length, first = length, next(lengths, None), False
+        if length is None:
+            return
+        found = rows.join(unplaced(least, "h", "g"), ["h", "g"])
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, start: int = START) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text.
 
@@ -172,26 +195,38 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    steps = levels(window, start)
-    rows = base.where("i is not null").mapInArrow(_first_level(steps[0], steps[1]), "h long, i long")
-    least = rows.groupBy("h").agg(F.min("i").alias("m"), F.max("i").alias("x")).where("m < x").select("h", "m")
-    found = rows.join(unplaced(least, "h"), "h")
-    for k, length in enumerate(steps[1:], 1):
-        if k > 1:
-            found = rows.join(unplaced(least, "h", "g"), ["h", "g"])
-        cand = durable(found.groupBy("i").agg(F.collect_set(F.struct("h", (F.col("m") < F.col("i")).alias("later"))).alias("c")))
-        texts = base.where(among(cand.select("i"))("i")).join(unplaced(cand, "i"), "i")
-        rows = texts.select("i", "t", "c").mapInArrow(_next_level(steps[k - 1], length, k == 1), "h long, g int, i long, p long, later boolean")
-        least = rows.groupBy("h", "g").agg(F.min("i").alias("m"), F.max("i").alias("x")).where("m < x").select("h", "g", "m")
+    shape = "doc_id long, n_words long, n_removed long, kept_text string"
+    whole = F.lit(None).cast("array<long>").alias("c")
+    for length, rows, least in doubled(base, levels(window, start)):
+        if length == window:
+            break
+    else:  # no candidate came so far
+        return base.select("i", "t", whole).mapInArrow(_remove(window), shape)
     again = rows.where("later").join(unplaced(least, "h", "g"), ["h", "g"]).where("m < i")
     places = durable(again.groupBy("i").agg(F.collect_list("p").alias("c")))
     touched = among(places.select("i"))("i")
     some = base.where(touched).join(unplaced(places, "i"), "i", "left").select("i", "t", "c")
-    rest = base.where(~touched).select("i", "t", F.lit(None).cast("array<long>").alias("c"))
-    shape = "doc_id long, n_words long, n_removed long, kept_text string"
+    rest = base.where(~touched).select("i", "t", whole)
     return some.mapInArrow(_remove(window), shape).unionByName(rest.mapInArrow(_remove(window), shape))
 
 
+def repeat_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, start: int = START) -> DataFrame:
+    """(doc_id, longest): for every id that shares a window of `window` words with
+    another, the longest of `window`, 2 * `window`, 4 * `window` and so on at which
+    it still shares one; lengths double until no candidate survives. Null ids and
+    texts, and texts shorter than the window, give no row."""
+    small_batches(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    out = None
+    for length, rows, least in doubled(base, chain(levels(window, start), (window << k for k in count(1)))):
+        if length >= window:
+            one = durable(rows.join(unplaced(least, "h", "g"), ["h", "g"]).select(F.col("i").alias("doc_id"), F.lit(length).cast("long").alias("longest")).distinct())
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, longest long")
+    return out.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+
+
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """`documents`, by windows of 50 words."""
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=50).select(

@@ -272,3 +272,14 @@ def test_hot_keys_are_divided(spark, docs, prose, splitting, monkeypatch):
     star = spark.range(1, 3000).selectExpr("0L as a", "id as b")
     assert minhash.components(star.repartition(8)).where("c = 0").count() == 3000
     assert any("skew=true" in p for p in plans)
+
+
+def test_repeats_double_until_none_survives(docs, prose, odd):
+    a, b = prose(230), prose(55)
+    rows = [(k, f"u{k} {a} v{k}") for k in range(3)] + [(10, " ".join(a.split()[:120])), (11, b), (12, b + " x"), (13, prose(90)), (14, prose(20))] + [(None, a), (20, None)]
+    got = dict(substring.repeat_lengths(docs(rows)).collect())
+    assert got == {0: 200, 1: 200, 2: 200, 10: 100, 11: 50, 12: 50}
+    assert substring.repeat_lengths(docs([(1, prose(80)), (2, prose(80))])).count() == 0 and substring.repeat_lengths(docs([])).count() == 0
+    alone = [(1, prose(80)), (2, prose(80)), (3, None)]
+    got = [tuple(r) for r in substring.substring_dedup(docs(alone)).collect()]
+    assert sorted(got) == sorted(brute_substring(alone, 50))
