@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .durable import durable, shared_path, small_batches, trim
-from .sieve import among, bitmap, held_in, unplaced
+from .sieve import Sieve, bitmap, held_in, unplaced
 
 #: Text bytes of a block, about; windows of a segment of an item.
 BLOCK, SEGMENT = 1 << 20, 64
@@ -305,10 +305,10 @@ def _matches(base: DataFrame, benchmark: DataFrame, item_col: str, text_col: str
     anchors = ranked.mapInArrow(_anchors(size, 1.0 if slack is None else share), "seg long, term long")
     routes = durable(anchors.join(index.lists.select("term", "block"), "term").select("block", "seg").distinct())
     routed = unplaced(routes.select("block").distinct(), "block")
-    sent = among(routed.select("block"))
+    sieve = Sieve(routed.select("block"))
     kind = lambda df, k, *cols: df.select("block", F.lit(k).alias("kind"), *cols)
-    rows = kind(index.headers.where(sent("block")), 0, "ids", "marks", "first")
-    rows = rows.unionByName(kind(index.lists.where(sent("block")), 1, "term", "n", "at"), allowMissingColumns=True)
+    rows = kind(sieve.split(index.headers, "block")[0], 0, "ids", "marks", "first")
+    rows = rows.unionByName(kind(sieve.split(index.lists, "block")[0], 1, "term", "n", "at"), allowMissingColumns=True)
     rows = rows.unionByName(kind(routes.join(segments, "seg"), 2, "item", "terms"), allowMissingColumns=True)
     # The bitmap may let a block through that no segment goes to; it has no matches.
     found = rows.repartition("block").sortWithinPartitions("block", "kind", "term").mapInArrow(_skip_unrouted(_intersect(size, slack, share)), _MATCH)
@@ -379,9 +379,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     found = _matches(base, benchmark, item_col, item_text_col, size, None, 1.0, block_bytes)
     gone = durable(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("i"), F.col("mark").alias("k")).distinct())
     rows = plain.withColumns(keyed)
-    maybe = among(gone.select("i"))("i")
-    left = rows.where(maybe).join(unplaced(gone, "i", "k"), ["i", "k"], "left_anti").select(plain.columns)
-    return rows.where(~maybe).select(plain.columns).unionByName(left).toDF(*docs.columns)
+    maybe, rest = Sieve(gone.select("i")).split(rows, "i")
+    left = maybe.join(unplaced(gone, "i", "k"), ["i", "k"], "left_anti").select(plain.columns)
+    return rest.select(plain.columns).unionByName(left).toDF(*docs.columns)
 
 
 def _digest(col: str):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .durable import durable, small_batches
-from .sieve import among, unplaced
+from .sieve import Sieve, unplaced
 
 SEGMENT = 1 << 15  # bits
 
@@ -208,12 +208,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = held.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("i").alias("m")).where(F.col("n") >= min_docs).select("h", "g", "m")
     gone = held.join(unplaced(keys, "h", "g"), ["h", "g"]).where("i < m").groupBy("i").agg(F.collect_set("h").alias("c"))
     gone = durable(gone)
-    lost = among(gone.select("i"))("i")
+    some, rest = Sieve(gone.select("i")).split(base, "i")
     shape = "doc_id long, n_lines long, n_dropped long, kept_text string"
-    some = base.where(lost).join(unplaced(gone, "i"), "i", "left").select("i", "t", "c").mapInArrow(_drop(min_chars), shape)
+    some = some.join(unplaced(gone, "i"), "i", "left").select("i", "t", "c").mapInArrow(_drop(min_chars), shape)
     whole = F.coalesce("t", F.lit(""))
     n = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
-    rest = base.where(~lost).select(F.col("i").alias("doc_id"), n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), whole.alias("kept_text"))
+    rest = rest.select(F.col("i").alias("doc_id"), n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), whole.alias("kept_text"))
     return some.unionByName(rest)
 
 

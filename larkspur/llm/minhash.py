@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .durable import durable, release, small_batches, trim
-from .sieve import among, unplaced
+from .sieve import Sieve, unplaced
 
 BANDS, ROWS = 32, 4
 #: Texts of a home, about; members of a band by salt.
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seats = seats.select("key", F.col("g").alias("other"), "several", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     sent = placed.withColumn("salt", F.pmod(F.xxhash64("r"), F.col("salts"))).join(seats, ["key", "salt"]).where("g <> other or several")
     sent = durable(sent.select(F.least("g", "other").alias("g1"), F.greatest("g", "other").alias("g2"), "g", "r").distinct())
-    wanted = base.where(among(homes.select("r"))("i"))
+    wanted = Sieve(homes.select("r")).split(base, "i")[0]
     full = wanted.join(homes.select("r", "keys"), F.col("i") == F.col("r")).select("r", "keys", "t").join(sent, "r").select(*_UNIT)
     found = durable(full.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_compare(least), _LINK))
     links = found.where("similarity is not null")
@@ -323,14 +323,14 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     i, t = F.col(f"c{docs.columns.index(id_col)}").cast("long"), F.col(f"c{docs.columns.index(text_col)}")
     ids = plain.select(i.alias("i")).where("i is not null").groupBy("i").agg(F.count("*").alias("n")).where("n > 1").select("i")
-    repeated = among(durable(ids))
+    repeated = Sieve(durable(ids))
     # Such an id and its text make an id of their own, above all others.
     own = F.lit(2**62) + F.xxhash64(i, t).bitwiseAND(F.lit(2**62 - 1))
-    rows = plain.withColumn("again", repeated(i)).withColumn("v", F.when(F.col("again"), own).otherwise(i))
+    rows = repeated.mark(plain.withColumn("v", i), "v", "again").withColumn("v", F.when(F.col("again"), own).otherwise(i))
     members, _ = near_duplicates(rows.select("v", t.alias("t")), "v", "t", **settings)
     gone = durable(members.where("doc_id <> class_id").select(F.col("doc_id").alias("v")).distinct())
-    maybe = among(gone)("v")
-    kept = rows.where(~maybe).unionByName(rows.where(maybe).join(unplaced(gone, "v"), "v", "left_anti").select(rows.columns))
+    maybe, rest = Sieve(gone).split(rows, "v")
+    kept = rest.unionByName(maybe.join(unplaced(gone, "v"), "v", "left_anti").select(rows.columns))
     row = F.struct(*plain.columns)
     once = kept.where("again").groupBy("v").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r")).select("r.*")
     return kept.where("not again").select(plain.columns).unionByName(once).toDF(*docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +36,9 @@ def _range_of(splitters: list[tuple[int, int]]):
     keys = np.array([k for k, _ in splitters], np.int64)
     ids = np.array([i for _, i in splitters], np.int64)
 
-    @F.pandas_udf("int")
-    def place(key: pd.Series, tie: pd.Series) -> pd.Series:
-        k, t = key.to_numpy(np.int64), tie.to_numpy(np.int64)
+    @F.arrow_udf("int")
+    def place(key: pa.Array, tie: pa.Array) -> pa.Array:
+        k, t = key.to_numpy(zero_copy_only=False), tie.to_numpy(zero_copy_only=False)
         lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
         out = hi.copy()
         split = np.flatnonzero(hi > lo)
@@ -46,7 +46,7 @@ def _range_of(splitters: list[tuple[int, int]]):
             own = split[lo[split] == a]
             z = hi[own[0]]
             out[own] = a + np.searchsorted(ids[a:z], t[own], "right")
-        return pd.Series(out.astype(np.int32))
+        return pa.array(out.astype(np.int32))
 
     return place
 
@@ -131,9 +131,9 @@ class Layout:
         middle = F.when(F.col("home").isNull(), F.min("at").over(g) + F.sum("rest").over(g) / 2).otherwise(F.col("at") + F.col("rest") / 2)
         ends, last = self._ends, self.n_shards - 1
 
-        @F.pandas_udf("int")
-        def stream(m: pd.Series) -> pd.Series:
-            return pd.Series(np.minimum(np.searchsorted(ends, m.to_numpy(float), "right"), last).astype(np.int32))
+        @F.arrow_udf("int")
+        def stream(m: pa.Array) -> pa.Array:
+            return pa.array(np.minimum(np.searchsorted(ends, m.to_numpy(zero_copy_only=False), "right"), last).astype(np.int32))
 
         return rows.withColumn("middle", middle).withColumn("shard", F.when(F.col("home") >= 0, F.col("home")).otherwise(stream("middle"))).drop("middle")
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 
 def bitmap(values: DataFrame, bits: int = 1 << 25) -> np.ndarray:
     """Packed bits of the one long column of `values`, each at its value mod
@@ -28,17 +27,31 @@ def held_in(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def among(ids: DataFrame, bits: int = 1 << 25) -> Callable[[str], Column]:
-    """A filter by the one long column of `ids`: false only for a value that is
-    none of them. A full bitmap lets more through to the join, which decides."""
-    name = ids.columns[0]
-    sent = ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(name).alias("p")), bits).tobytes())
-
-    @F.arrow_udf("boolean")
-    def test(p: pa.Array) -> pa.Array:
-        return pa.array(held_in(np.frombuffer(sent.value, np.uint8), p.fill_null(0).to_numpy(zero_copy_only=False)))
-
-    return lambda col: F.coalesce(test(F.xxhash64(col)), F.lit(False))
+class Sieve:
+    """The one column of `ids` as a bitmap of a fixed size, which is broadcast to
+    part tables into rows that may be of them and rows that are surely not. A
+    full bitmap lets more through to the join behind it, which decides. Nothing
+    leaves the JVM."""
+
+    def __init__(self, ids: DataFrame, bits: int = 1 << 25) -> None:
+        name, self.bits = ids.columns[0], bits
+        at = ids.where(F.col(name).isNotNull()).select((F.pmod(F.xxhash64(name), F.lit(bits)) + 1).alias("p"))  # Spark counts bits from 1
+        maps = at.groupBy(F.bitmap_bucket_number("p").alias("_sieve_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_sieve_m"))
+        self._maps = durable(maps)  # bits / 32768 rows of 4096 bytes at most
+
+    def mark(self, df: DataFrame, col: str, name: str) -> DataFrame:
+        """`df` with a boolean `name`; false for null."""
+        at = f"pmod(xxhash64(`{col}`), {self.bits}L)"
+        maps = F.broadcast(self._maps)
+        out = df.join(maps, F.expr(f"{at} div 32768 + 1") == F.col("_sieve_k"), "left")
+        byte = f"cast(conv(hex(substring(_sieve_m, cast(({at} % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
+        held = F.expr(f"coalesce(`{col}` is not null and shiftright({byte}, cast({at} % 8 as int)) & 1 = 1, false)")
+        return out.withColumn(name, held).drop("_sieve_k", "_sieve_m")
+
+    def split(self, df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+        """(rows that may be held, the others)."""
+        marked = self.mark(df, col, "_sieve_held")
+        return marked.where("_sieve_held").drop("_sieve_held"), marked.where("not _sieve_held").drop("_sieve_held")
 
 
 def unplaced(df: DataFrame, *keys: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .durable import durable, small_batches
-from .sieve import among, unplaced
+from .sieve import Sieve, unplaced
 
 START = 25
 
@@ -172,7 +172,7 @@ def doubled(base: DataFrame, lengths: Iterable[int]) -> Iterator[tuple[int, Data
         cand = durable(found.groupBy("i").agg(F.collect_set(F.struct("h", (F.col("m") < F.col("i")).alias("later"))).alias("c")))
         if cand.isEmpty():
             return
-        texts = base.where(among(cand.select("i"))("i")).join(unplaced(cand, "i"), "i")
+        texts = Sieve(cand.select("i")).split(base, "i")[0].join(unplaced(cand, "i"), "i")
         rows = texts.select("i", "t", "c").mapInArrow(_next_level(prev, length, first), "h long, g int, i long, p long, later boolean")
         least = rows.groupBy("h", "g").agg(F.min("i").alias("m"), F.max("i").alias("x")).where("m < x").select("h", "g", "m")
         yield length, rows, least
@@ -204,9 +204,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return base.select("i", "t", whole).mapInArrow(_remove(window), shape)
     again = rows.where("later").join(unplaced(least, "h", "g"), ["h", "g"]).where("m < i")
     places = durable(again.groupBy("i").agg(F.collect_list("p").alias("c")))
-    touched = among(places.select("i"))("i")
-    some = base.where(touched).join(unplaced(places, "i"), "i", "left").select("i", "t", "c")
-    rest = base.where(~touched).select("i", "t", whole)
+    some, rest = Sieve(places.select("i")).split(base, "i")
+    some, rest = some.join(unplaced(places, "i"), "i", "left").select("i", "t", "c"), rest.select("i", "t", whole)
     return some.mapInArrow(_remove(window), shape).unionByName(rest.mapInArrow(_remove(window), shape))
 
 
