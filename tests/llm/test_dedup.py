@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from larkspur.llm import lines, minhash, substring
 from larkspur.llm import tokens as tk
+from larkspur.llm.sieve import Sieve
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -283,3 +284,14 @@ def test_repeats_double_until_none_survives(docs, prose, odd):
     alone = [(1, prose(80)), (2, prose(80)), (3, None)]
     got = [tuple(r) for r in substring.substring_dedup(docs(alone)).collect()]
     assert sorted(got) == sorted(brute_substring(alone, 50))
+
+
+def test_sieve_misses_none(spark):
+    ids = spark.range(0, 30000, 3).selectExpr("id - 9000 as x").union(spark.sql("select cast(null as long)"))
+    rows = spark.range(60000).selectExpr("id - 9000 as v").union(spark.sql("select cast(null as long)"))
+    for bits, most in ((1 << 25, 20), (1 << 15, 60000)):
+        held, rest = Sieve(ids, bits).split(rows, "v")
+        held, rest = {r.v for r in held.collect()}, [r.v for r in rest.collect()]
+        want = set(range(-9000, 21000, 3))
+        assert want <= held and len(held - want) <= most and len(held) + len(rest) == 60001 and None in rest
+    assert Sieve(ids.limit(0)).split(rows, "v")[0].count() == 0
