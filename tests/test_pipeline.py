@@ -52,7 +52,8 @@ def test_directory(spark, tmp_path):
     assert read("top.txt") == b"" and "patient_ID_001" in done["patient_10000001/n.txt"].output_path
     # Again: what is done stays done; a changed file is done anew under the same alias.
     put(root, "patient_10000001/n.txt", "changed")
-    again = {r.input_path: r for r in pipeline.deidentify_directory(spark, str(root), str(out), "salt", sleep=lambda s: None).collect()}
+    again = {r.input_path: r for r in pipeline.deidentify_directory(spark, str(root), str(out), "salt", audit=True, sleep=lambda s: None).collect()}
+    assert json.loads(open(again["patient_10000001/n.txt"].output_path.replace(".txt", "_debug.json")).read())["status"] == "clean"
     assert set(again) == {"patient_10000001/n.txt", "bad.txt", "scan.png"}
     assert again["patient_10000001/n.txt"].output_path == done["patient_10000001/n.txt"].output_path and read("patient_10000001/n.txt") == b"changed"
 
