@@ -35,15 +35,19 @@ class RuleDetector:
     def __init__(self, rules: dict[str, str] | None = None) -> None:
         self.rules = rules or {**RULES, "id_number": r"(?<![0-9])[0-9]{6,}(?![0-9])"}
 
-    def detect(self, units: pd.DataFrame) -> pd.DataFrame:
+    def found(self, text: str) -> list[tuple[str, str]]:
+        """(text, type) of what one text holds, rule by rule."""
+        taken: list[tuple[int, int]] = []
         out = []
-        for r in units.itertuples(index=False):
-            taken: list[tuple[int, int]] = []
-            for kind, p in self.rules.items():
-                for m in re.finditer(p, r.text or ""):
-                    if all(m.end() <= a or m.start() >= z for a, z in taken):
-                        taken.append(m.span())
-                        out.append((r.unit, r.col, m[0], kind))
+        for kind, p in self.rules.items():
+            for m in re.finditer(p, text):
+                if all(m.end() <= a or m.start() >= z for a, z in taken):
+                    taken.append(m.span())
+                    out.append((m[0], kind))
+        return out
+
+    def detect(self, units: pd.DataFrame) -> pd.DataFrame:
+        out = [(u, c, *x) for u, c, t in zip(units["unit"], units["col"], units["text"]) for x in self.found(t or "")]
         return pd.DataFrame(out, columns=["unit", "col", "text", "type"])
 
 

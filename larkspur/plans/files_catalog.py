@@ -13,6 +13,7 @@ from ..functions import text
 from ..operators import audio, dicom, media, paths, tabular
 from ..operators.detectors import RuleDetector
 from ..sources import pixels as px
+from ..sources.shared import spread
 from .catalog import DAYS, _customers, query, table
 from .pipeline import told_columns, units
 
@@ -84,7 +85,7 @@ def dicom_redaction(spark, sf_dir):
     hidden in every frame at full depth, and written; read again and measured."""
     day = F.date_format(F.date_add(F.lit("2100-01-01").cast("date"), (F.col("c_custkey") % 9000).cast("int")), "yyyyMMdd")
     tags = F.create_map(F.lit("PatientName"), F.col("c_name"), F.lit("StudyDate"), day, F.lit("StudyDescription"), F.lit("call +1 (017) 555-7713"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", tags.alias("old"), dicom.anonymise_tags(tags, DAYS).alias("new"))
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", tags.alias("old"), dicom.anonymise_tags(tags, DAYS).alias("new"))
     names = ["PatientName", "StudyDate", "StudyDescription"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,6 +24,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` over all cores by its keys, for rows that cost more than they weigh:
+    a scan is split by bytes, which may put all of them into one task."""
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 class Versions:
     """Tables that change together. A version is a folder of its own and counts
     once its last table is written, so a writer that is lost leaves the old one."""

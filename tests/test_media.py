@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import pytest
 from larkspur.operators import audio, media
+from larkspur.operators.detectors import RuleDetector
+from larkspur.plans import catalog
 from larkspur.sources import pixels as px
 
 
@@ -189,3 +191,22 @@ def test_pages_video_and_sound():
     assert media.transcript(wav, b) == "2 s, call 0171234567"
     samples, _ = audio.from_wav(media.spoken("call ********** now", b))
     assert len(samples) == 400 + len(audio.beep()) + 300 and abs(samples[:400] - 0.25).max() < 1e-3
+
+
+def test_rules_need_no_frames(monkeypatch):
+    b = media.Backends()
+    want = [{"text": "12345678", "type": "id_number"}]
+    monkeypatch.setattr(media.pd, "DataFrame", None)  # one a reading took most of a file's time
+    assert media.private_texts(None, ["id 12345678", "plain", None], b, RuleDetector()) == want
+    monkeypatch.undo()
+
+    class Names(RuleDetector):
+        def detect(self, units):
+            return units.assign(type="name")
+
+    assert [i["text"] for i in media.private_texts(None, ["Ann", " "], b, Names())] == ["Ann"]
+
+
+@pytest.mark.parametrize("name", ["dicom_redaction"])
+def test_files_are_rendered_on_all_cores(spark, sf_dir, name):
+    assert catalog.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
