@@ -73,7 +73,7 @@ def image_redaction(spark, sf_dir):
                 out.append((key, p.shape[1], p.shape[0], int((p == 0).all(-1).sum()), report.texts, sum(report.faces), report.clean))
             yield pd.DataFrame(out, columns=["p_partkey", "width", "height", "hidden_pixels", "n_texts", "n_faces", "clean"])
 
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, width int, height int, hidden_pixels long, n_texts int, n_faces int, clean boolean")
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").mapInPandas(run, "p_partkey long, width int, height int, hidden_pixels long, n_texts int, n_faces int, clean boolean")
 
 
 @query(

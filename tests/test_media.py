@@ -207,6 +207,6 @@ def test_rules_need_no_frames(monkeypatch):
     assert [i["text"] for i in media.private_texts(None, ["Ann", " "], b, Names())] == ["Ann"]
 
 
-@pytest.mark.parametrize("name", ["dicom_redaction"])
+@pytest.mark.parametrize("name", ["dicom_redaction", "image_redaction"])
 def test_files_are_rendered_on_all_cores(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
