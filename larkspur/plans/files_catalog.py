@@ -27,7 +27,7 @@ def directory_units(spark, sf_dir):
     """Text and CSV files as units of text."""
     d = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("text").alias("kind"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
     row = F.concat(F.lit("key,name\n"), F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit(', ""x"""\n'))
-    c = table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".csv")).alias("path"), F.lit("csv").alias("kind"), F.encode(row, "utf-8").alias("content"))
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".csv")).alias("path"), F.lit("csv").alias("kind"), F.encode(row, "utf-8").alias("content"))
     return units(d.unionByName(c)).select("path", "part", "row", "col", "column", "value")
 
 

@@ -15,6 +15,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +33,22 @@ from ..sources.shared import Versions, durable
 WHOLE = ("excel", "docx", "dicom", "image", "pdf", "video")
 TAG, PIXELS, SPEECH = "tag", "pixels", "transcript"
 UNITS = "path string, part string, row long, col int, column string, value string, error string"
+#: Units, and bytes of the files they came from, that go to Spark at once.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 FOLDERS = "folder string, base string, counter int, alias string"
 FILES = "folder string, name string, base string, counter int, alias string"
 IDENTIFIER = r"(?i)(^|_)(id|mrn|ssn|name|phone|email|address)$"
 
 
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    cols = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, fields)], [n for n, _ in fields])
+
+
 def _units_of(path: str, kind: str, data: bytes, b: Backends) -> list[tuple]:
     if kind == "text":
         return [(path, "text", 0, 0, None, data.decode("utf-8"), None)]
@@ -70,16 +82,23 @@ def units(todo: DataFrame, backends: Backends | None = None) -> DataFrame:
     error."""
     b = backends or Backends()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0  # of as many files as make a batch: one a file would cost more than its units
+        for f in batches:
+            for path, kind, content in zip(*f.columns):
+                path, data = path.as_py(), content.as_py()
                 try:
-                    rows = _units_of(r.path, r.kind, bytes(r.content), b)
+                    rows += _units_of(path, kind.as_py(), bytes(data), b)
                 except Exception as e:
-                    rows = [(r.path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in UNITS.split(", ")]).astype({"row": "Int64", "col": "Int32"})
-
-    return todo.select("path", "kind", "content").mapInPandas(run, UNITS)
+                    rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                held += len(data or b"")
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield _batch(rows, UNITS)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows, UNITS)
+
+    return todo.select("path", "kind", "content").mapInArrow(run, UNITS)
 
 
 def _assembled(kind: str, data: bytes, own: pd.DataFrame, b: Backends, detector: Detector) -> tuple[bytes, str | None, bool]:

@@ -181,3 +181,15 @@ def test_hot_names_are_numbered_in_ranges(spark):
     f = spark.range(400).selectExpr("'a' as folder", "concat('x_', lpad(id + 1000000, 9, '0'), '.txt') as name")
     got = sorted((r.name, r.counter) for r in paths.alias_files(f).collect())
     assert [c for _, c in got] == list(range(1, 401))
+
+
+def test_units_of_many_files_share_a_batch(spark, monkeypatch):
+    files_ = spark.createDataFrame([(f"{k}.txt", "text", b"x" * k) for k in range(300)] + [("bad.txt", "text", b"\xff"), ("none.txt", "text", None)], "path string, kind string, content binary").coalesce(1)
+    made = []
+    monkeypatch.setattr(type(files_), "mapInArrow", lambda self, run, schema: made.append(run) or self)
+    pipeline.units(files_)
+    monkeypatch.undo()
+    got = list(made[0](iter(files_.toArrow().to_batches())))
+    rows = [r for b in got for r in b.to_pylist()]
+    assert len(got) == 1 and len(rows) == 302 and all(r["value"] == "x" * k for k, r in enumerate(rows[:300]))
+    assert "UnicodeDecodeError" in rows[300]["error"] and "TypeError" in rows[301]["error"]
