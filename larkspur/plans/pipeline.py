@@ -27,7 +27,7 @@ from ..operators.documents import chunks
 from ..operators.media import Backends
 from ..sources import files, office
 from ..sources.pixels import read_dicom
-from ..sources.shared import Versions, durable
+from ..sources.shared import Versions, durable, spread
 
 #: Kinds whose old bytes are needed to put the new file together.
 WHOLE = ("excel", "docx", "dicom", "image", "pdf", "video")
@@ -157,15 +157,26 @@ def told_columns(u: DataFrame, columns: Callable[[list[str], list[dict]], list[s
     """(path, part, column) to be masked whole, told by a call from each table's
     header and first rows; nothing but these reaches it."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["row", "col"])
-        names = list(rows[rows["row"] < 0]["column"])
-        body = [dict(zip(g["column"], g["value"])) for _, g in rows[rows["row"] >= 0].groupby("row")]
-        found = [c for c in names if c in set(columns(names, body))]
-        return pd.DataFrame([(rows["path"].iloc[0], rows["part"].iloc[0], c) for c in found], columns=["path", "part", "column"], dtype=object)
+    def told(cells: list[tuple]) -> list[str]:
+        names, body = [c for r, c, _ in cells if r < 0], {}
+        for r, c, v in cells:
+            if r >= 0:
+                body.setdefault(r, {})[c] = v
+        said = set(columns(names, list(body.values())))
+        return [c for c in dict.fromkeys(names) if c in said]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, cells = b.column(2).offsets.to_pylist(), b.column(2).flatten()
+            ends, cells = [e - ends[0] for e in ends], list(zip(*(cells.field(k).to_pylist() for k in ("row", "column", "value"))))
+            own = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends, ends[1:])
+            yield _batch([(path, part, c) for path, part, lo, hi in own for c in told(cells[lo:hi])], told_as)
 
+    told_as = "path string, part string, column string"
     few = u.where((F.col("row") < sample) & F.col("column").isNotNull() & (F.col("part") != TAG)).select("path", "part", "row", "col", "column", "value")
-    return few.groupBy("path", "part").applyInPandas(run, "path string, part string, column string").distinct()
+    # One row a table: a frame a table costs many times what is done with it.
+    tables = spread(few, "path", "part").groupBy("path", "part").agg(F.array_sort(F.collect_list(F.struct("row", "col", "column", "value"))).alias("cells"))
+    return tables.mapInArrow(run, told_as)
 
 
 def deidentify_units(u: DataFrame, detector: Detector, passes: int, most: int = 8000, salt: str = "", columns: Callable | None = None, **calls) -> DataFrame:

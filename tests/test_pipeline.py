@@ -183,6 +183,24 @@ def test_hot_names_are_numbered_in_ranges(spark):
     assert [c for _, c in got] == list(range(1, 401))
 
 
+def test_columns_are_asked_once_a_table(spark, tmp_path):
+    cells = [(f"{n}.csv", "", r, k, h, f"{r}{h}") for n in range(40) for k, h in enumerate("aba") for r in (10, 3, 1, 0, 2, -1, 4)]
+    u = spark.createDataFrame(cells + [("x", pipeline.PIXELS, -1, 0, None, None)], "path string, part string, row long, col int, column string, value string")
+    log = str(tmp_path / "asked")
+
+    def tell(names, rows):
+        with open(log, "a") as f:
+            f.write(json.dumps([names, rows]) + "\n")
+        return ["b", "a", "none"]
+
+    told = pipeline.told_columns(u, tell)
+    assert told.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    (tmp_path / "asked").unlink(missing_ok=True)
+    assert sorted(map(tuple, told.collect())) == sorted((f"{n}.csv", "", h) for n in range(40) for h in "ab")
+    asked = [json.loads(x) for x in open(log)]
+    assert asked == [[list("aba"), [{"a": f"{r}a", "b": f"{r}b"} for r in range(5)]]] * 40
+
+
 def test_units_of_many_files_share_a_batch(spark, monkeypatch):
     files_ = spark.createDataFrame([(f"{k}.txt", "text", b"x" * k) for k in range(300)] + [("bad.txt", "text", b"\xff"), ("none.txt", "text", None)], "path string, kind string, content binary").coalesce(1)
     made = []
