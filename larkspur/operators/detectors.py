@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 
 from ..functions.text import RETRYABLE, RULES
 
+#: What every match of a rule holds, where that is a fixed text.
+NEEDED_BY = {RULES["email"]: "@", RULES["phone"]: "+1 ("}
 FOUND = "unit string, col string, text string, type string, error string"
 
 
@@ -40,6 +42,8 @@ class RuleDetector:
         taken: list[tuple[int, int]] = []
         out = []
         for kind, p in self.rules.items():
+            if (need := NEEDED_BY.get(p)) and need not in text:
+                continue
             for m in re.finditer(p, text):
                 if all(m.end() <= a or m.start() >= z for a, z in taken):
                     taken.append(m.span())
@@ -148,27 +152,31 @@ def with_retry(call: Callable, tries: int = 5, sleep: Callable[[float], None] =
     raise AssertionError("unreachable")
 
 
+def found_in(units: pd.DataFrame, detector: Detector, batch: int | None = None, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> Iterator[pd.DataFrame]:
+    """detect() on a frame of units, where that lies."""
+    batch = batch or getattr(detector, "batch", 15)
+    for lo in range(0, len(units), batch):
+        part = units.iloc[lo : lo + batch]
+        try:
+            got = with_retry(lambda part=part: detector.detect(part), tries, sleep)
+        except Exception as e:
+            yield part[["unit", "col"]].assign(text=None, type=None, error=str(e))
+            continue
+        if not len(got):
+            continue
+        got = got.merge(part.rename(columns={"text": "_whole"}), on=["unit", "col"])
+        ok = [bool(t and t.strip()) and t in (w or "") for t, w in zip(got["text"], got["_whole"])]
+        yield got[ok][["unit", "col", "text", "type"]].assign(error=None)
+
+
 def detect(units: DataFrame, detector: Detector, batch: int | None = None, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """FOUND rows for units (unit, col, text). Arrow batches are cut to `batch`
     units a call, by default the detector's own `batch` or 15. A call that fails leaves one row a unit with its error and no
     text, so that callers can fail closed; blank texts, and texts that don't
     stand in their unit, are dropped."""
 
-    batch = batch or getattr(detector, "batch", 15)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for lo in range(0, len(f), batch):
-                part = f.iloc[lo : lo + batch]
-                try:
-                    got = with_retry(lambda part=part: detector.detect(part), tries, sleep)
-                except Exception as e:
-                    yield part[["unit", "col"]].assign(text=None, type=None, error=str(e))
-                    continue
-                if not len(got):
-                    continue
-                got = got.merge(part.rename(columns={"text": "_whole"}), on=["unit", "col"])
-                ok = [bool(t and t.strip()) and t in (w or "") for t, w in zip(got["text"], got["_whole"])]
-                yield got[ok][["unit", "col", "text", "type"]].assign(error=None)
+            yield from found_in(f, detector, batch, tries, sleep)
 
     return units.select("unit", "col", "text").mapInPandas(run, FOUND)

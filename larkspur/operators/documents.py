@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.text import redact_literals
-from ..sources.shared import durable
-from .detectors import Detector, RuleDetector, detect
+from .detectors import Detector, RuleDetector, found_in
 
 OVERLAP = 500
+#: Nothing but asterisks, as '^[*]+$' has it: a line may end behind them.
+_STARS = re.compile("[*]+(?:\r\n|[\n\r\u0085\u2028\u2029])?")
+#: Documents whose units are held beside them at once.
+BATCH_DOCS = 512
 
 
 def split_chunks(text: str, most: int, overlap: int = OVERLAP) -> list[tuple[int, str]]:
@@ -55,30 +60,63 @@ def paired_chunks(before: DataFrame, after: DataFrame, most: int = 4000) -> Data
     return b.join(a, ["doc_id", "chunk_no"])
 
 
+def redacted(text: str, literals: Iterable[str]) -> str:
+    """redact_literals() on one text."""
+    for x in sorted({x for x in literals if x.strip(" ")}, key=lambda x: (-len(x), x)):
+        text = text.replace(x, "*" * len(x))
+    return text
+
+
+def _checked(ids: list, texts: list, passes: int, steps: Callable[[int], tuple[Detector, int]], **calls) -> tuple[list, list[bool], list[bool]]:
+    """Texts with what detectors find starred, whether a call failed for them, and
+    whether the last check of them still found something. The first pass and the
+    first check read all of them, later ones those in which something was found."""
+    # Rows without an id, or with that of an earlier one, are texts of their own.
+    first = {i: k for k, i in reversed(list(enumerate(ids)))}
+    keys = [i if i is not None and first[i] == k else f"{i or ''}#{k}" for k, i in enumerate(ids)]
+    texts, failed, left = list(texts), [False] * len(texts), [False] * len(texts)
+    todo = range(len(texts))
+    for n in range(passes + 1):
+        detector, size = steps(n)
+        units = [(f"{keys[k]}/{m}", "text", c) for k in todo for m, (_, c) in enumerate(split_chunks(texts[k] or "", size))]
+        found, bad = defaultdict(set), set()
+        for f in found_in(pd.DataFrame(units, columns=["unit", "col", "text"]), detector, **calls):
+            for u, t, e in zip(f["unit"], f["text"], f["error"]):
+                key = u.rpartition("/")[0]
+                if e is not None:
+                    bad.add(key)
+                elif not _STARS.fullmatch(t):
+                    found[key].add(t)
+        for k in todo:
+            left[k] = keys[k] in found
+            failed[k] = failed[k] or keys[k] in bad
+            if left[k] and texts[k] is not None:
+                texts[k] = redacted(texts[k], found[keys[k]])
+        todo = todo if n == 0 else [k for k in todo if left[k]]
+        if not todo:
+            break
+    return texts, failed, left
+
+
 def deidentify(docs: DataFrame, days: Column | int, detector: Detector | None = None, checker: Detector | None = None, passes: int = 3, most: int = 8000, check_most: int = 4000, pattern: str = dates.PATTERN, **calls) -> DataFrame:
     """`docs` (doc_id, text, ...) with dates moved, what detectors find starred in
-    the whole document, the longest first, and a `_status` as for tables."""
+    the whole document, the longest first, and a `_status` as for tables. All
+    passes over a document are made where it lies, so that no text is moved for
+    them; nothing is asked before the result is used, and again if it is used twice."""
     detector = detector or RuleDetector()
-    docs = docs.withColumn("text", dates.shift_text(F.col("text"), days, pattern)).withColumn("_failed", F.lit(False)).withColumn("_left", F.lit(False))
-
-    def once(df: DataFrame, d: Detector, size: int) -> tuple[DataFrame, DataFrame]:
-        units = chunks(df, most=size).select(F.concat_ws("/", "doc_id", "chunk_no").alias("unit"), F.lit("text").alias("col"), F.col("chunk").alias("text"))
-        found = detect(units, d, **calls).withColumn("_id", F.split("unit", "/")[0].cast("long"))
-        found = found.where("error is not null or not text rlike '^[*]+$'")
-        per = found.groupBy("_id").agg(F.collect_set("text").alias("_found"), F.max(F.col("error").isNotNull()).alias("_bad"))
-        out = df.join(per, F.col("doc_id") == F.col("_id"), "left")
-        out = out.withColumn("text", F.when(F.size("_found") > 0, redact_literals(F.col("text"), F.col("_found"))).otherwise(F.col("text")))
-        out = out.withColumn("_failed", F.col("_failed") | F.coalesce("_bad", F.lit(False))).withColumn("_left", F.coalesce(F.size("_found") > 0, F.lit(False)))
-        return out.drop("_id", "_found", "_bad"), found
-
-    docs, _ = once(docs, detector, most)
-    for _ in range(passes):
-        docs = durable(docs)
-        docs, found = once(docs, checker or detector, check_most)
-        if found.where("text is not null").isEmpty():
-            break
-    status = F.when(F.col("_failed"), "failed").when(F.col("_left"), "unverified").otherwise("clean")
-    return docs.withColumn("_status", status).drop("_failed", "_left")
+    steps = lambda n: (detector, most) if n == 0 else (checker or detector, check_most)
+
+    def run(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for lo in range(0, len(texts), BATCH_DOCS):
+            part = [[None if pd.isna(x) else x for x in s.iloc[lo : lo + BATCH_DOCS]] for s in (ids, texts)]
+            out += zip(*_checked(*part, passes, steps, **calls))
+        return pd.DataFrame(out, columns=["text", "failed", "left"])
+
+    checked = F.pandas_udf(run, "text string, failed boolean, left boolean").asNondeterministic()
+    out = docs.withColumn("_out", checked(F.col("doc_id").cast("long").cast("string"), dates.shift_text(F.col("text"), days, pattern)))
+    status = F.when(F.col("_out.failed"), "failed").when(F.col("_out.left"), "unverified").otherwise("clean")
+    return out.withColumns({"text": F.col("_out.text"), "_status": status}).drop("_out")
 
 
 def merged_map(pairs: DataFrame, key: str = "doc_id") -> DataFrame:

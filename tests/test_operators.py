@@ -276,3 +276,35 @@ def test_shift_intervals_by_subject(spark):
     df = spark.createDataFrame([(f"p{i % 5}", f"2024-01-{i + 1:02d}") for i in range(20)], "p string, d string")
     out = df.select("p", "d", dates.shift(F.col("d"), dates.subject_offset(F.col("p"))).alias("s")).withColumn("n", F.datediff(F.to_date("s"), F.to_date("d")))
     assert all(r.k == 1 for r in out.groupBy("p").agg(F.countDistinct("n").alias("k")).collect())
+
+
+class Counting(detectors.RuleDetector):
+    def __init__(self, log):
+        super().__init__()
+        self.log = log
+
+    def detect(self, units):
+        with open(self.log, "a") as f:
+            f.writelines(f"{u}\n" for u in units["unit"])
+        return super().detect(units)
+
+
+def test_documents_are_checked_where_they_lie(spark, tmp_path):
+    log = str(tmp_path / "asked")
+    docs = spark.createDataFrame([(1, "id 1234567 and 1234567", "a"), (2, "plain", "b"), (None, "id 7654321", "c"), (4, None, "d"), (5, "x" * 3995 + " 12345678", "e"), (2, "12345678 is in plain", "f"), (None, "321 id", "g")], "doc_id long, text string, other string").coalesce(1)
+    out = documents.deidentify(docs, 1, detector=Counting(log), **NAP)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == [
+        (1, f"id {'*' * 7} and {'*' * 7}", "a", "clean"), (2, "plain", "b", "clean"), (None, f"id {'*' * 7}", "c", "clean"), (4, None, "d", "clean"), (5, "x" * 3995 + f" {'*' * 8}", "e", "clean"),
+        (2, f"{'*' * 8} is in plain", "f", "clean"), (None, "321 id", "g", "clean"),
+    ]
+    # Once in the pass and once in the check, each unit.
+    assert sorted(open(log).read().split()) == sorted([*["1/0", "2/0", "#2/0", "5/0", "2#5/0", "#6/0"] * 2, "5/1"])
+    # What only a check finds is checked again, by itself.
+    late = documents.deidentify(docs, 1, detector=detectors.ScriptedDetector([]), checker=Counting(str(tmp_path / "late")), **NAP)
+    assert {r.other: r._status for r in late.collect()} == dict.fromkeys("abcdefg", "clean")
+    assert open(tmp_path / "late").read().split().count("2/0") == 1 and open(tmp_path / "late").read().split().count("1/0") == 2
+    endless = documents.deidentify(docs, 1, checker=detectors.ScriptedDetector([("2/0", "ain", "name"), ("2/0", "***\n", "name"), ("2/0", "pl", "name")], {"1/0": "down"}), batch=1, passes=1, **NAP)
+    assert {r.other: (r.text, r._status) for r in endless.where("other < 'c'").collect()} == {"a": (f"id {'*' * 7} and {'*' * 7}", "failed"), "b": ("*****", "unverified")}
+    stars = documents.deidentify(spark.createDataFrame([(1, "***\nx")], "doc_id long, text string"), 1, detector=detectors.ScriptedDetector([("1/0", "***\n", "name")]), **NAP)
+    assert tuple(stars.first()) == (1, "***\nx", "clean")
